@@ -1,18 +1,52 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read back as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read back as the next one's input.
+
+Every stage but the last returns the columns of documents. Rows whose doc_id is null cannot be told apart by id, so
+the stages that decide by id keep them.
+"""
 
 from __future__ import annotations
 
-from lodestone.llm import near_dedup
+from lodestone.llm import decontaminate, near_dedup, packing, quality, secrets
 from lodestone.llm._common import read_table, stash
+from lodestone.llm.queries import tokenizer_path
+
+
+def quality_classifier(spark, docs, sf_dir):
+    """Documents that the classifier rejects go."""
+    rejected = quality.score(docs, read_table(spark, sf_dir, "labels")).where("not keep").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
 def minhash_near_dedup(spark, docs, sf_dir):
-    """Keep one document of each near-duplicate group: the one with the least doc_id."""
-    kept = near_dedup.near_components(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates, the document with the least doc_id stays, once."""
+    gone = near_dedup.near_components(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark item, or an edited copy of one, go."""
+    leaks = decontaminate.contaminated_pairs(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark, docs, sf_dir):
+    """Secrets are cut out of the text; the documents stay."""
+    return secrets.redact(docs)
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """Each piece of each document with its place in a training sequence."""
+    return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("minhash_near_dedup", minhash_near_dedup)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 
