@@ -7,6 +7,7 @@ Arrow step sees few values.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -89,20 +90,28 @@ EXPRESSIONS = {"luhn": luhn, "ipv4": ipv4, "us_ssn": us_ssn, "uuid": uuid, "us_z
 PARSED = {"ipv6": (lambda x: x.contains("::") | (F.length(x) - F.length(F.replace(x, F.lit(":"))) >= 6), is_ipv6), "url": (lambda x: x.contains(":"), is_url)}
 
 
+def _tested(test: Callable[[str], bool]) -> Callable[[Column], Column]:
+    @F.pandas_udf("array<string>")
+    def parsed(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else [x for x in v if test(x)])
+
+    return parsed
+
+
+def _holding(expression: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.coalesce(expression(x), F.lit(False))
+
+
 def keep_valid(candidates: Column, validators: list[str]) -> Column:
     """The elements of an array of strings that pass all validators."""
     out = candidates
     for name in validators:
         if name in EXPRESSIONS:
-            out = F.filter(out, lambda x, f=EXPRESSIONS[name]: F.coalesce(f(x), F.lit(False)))
+            out = F.filter(out, _holding(EXPRESSIONS[name]))
     for name in validators:
         if name in PARSED:
             quick, test = PARSED[name]
             out = F.filter(out, quick)
-
-            @F.pandas_udf("array<string>")
-            def parsed(values: pd.Series, test=test) -> pd.Series:
-                return values.map(lambda v: None if v is None else [x for x in v if test(x)])
-
-            out = F.when(F.size(out) > 0, parsed(F.when(F.size(out) > 0, out))).otherwise(out)
+            some = F.size(out) > 0
+            out = F.when(some, _tested(test)(F.when(some, out))).otherwise(out)
     return out
