@@ -184,7 +184,7 @@ def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], le
     return run
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 4, stride: int = 3, least: float = 0.6, block_bytes: int = 8_000_000) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int = 2, least: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, first_word) of each document of docs(doc_id, text, ...) and item of
     benchmark(item_id, text, ...) whose best alignment reaches least of the item's own score.
 

@@ -214,13 +214,13 @@ def test_contamination(spark, docs, texts, sf):
     whole = {(d, i) for d, t in texts.items() for i, x in items.items() if " ".join(low(x)) in " ".join(low(t))}
     assert whole <= got
     for d, i in got:
-        assert plain_alignment(low(items[i]), low(texts[d])) >= 0.6 * 2 * len(low(items[i]))
+        assert plain_alignment(low(items[i]), low(texts[d])) >= 0.5 * 2 * len(low(items[i]))
 
 
 def test_contamination_of_edits(spark):
     rnd = random.Random(5)
     words = [f"w{rnd.randrange(300)}" for _ in range(40)]
-    edited = [w if k % 9 else "new" for k, w in enumerate(words)]
+    edited = [w if k % 5 else "new" for k, w in enumerate(words)]
     other = [f"v{rnd.randrange(300)}" for _ in range(200)]
     rows = [(1, " ".join(other[:90] + edited + other[90:])), (2, " ".join(other)), (3, " ".join(words).upper()), (4, None), (5, ""), (3, " ".join(words)), (None, " ".join(words))]
     bench = spark.createDataFrame([(7, " ".join(words), 0), (8, None, 0), (9, "only three words", 0), (10, "", 0)], "item_id long, text string, doc_id int")
