@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.errors import InvalidArgs, LodestoneError, UnsupportedInput
 from lodestone.functions.masking import mask, sensitive_fragment
 from lodestone.functions.types import ARRAY, BOOLEAN, FLOAT, INTEGER, MIXED, NULL, OBJECT, PHYSICAL, STRING
-from lodestone.sources.formats import CSV_OPTIONS, is_remote, quoted, read_strings, require
+from lodestone.sources.formats import is_remote, quoted, read_strings, require
 
 SAMPLE_ROWS, STRING_COST = 5, 24
 BOOL_RE = "^(true|false)$"
@@ -90,7 +89,7 @@ def json_records(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         return lines
     whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
     kind = F.schema_of_variant("doc")
-    rows = F.when(kind.startswith("ARRAY"), F.col("doc").try_cast("array<variant>") if hasattr(Column, "try_cast") else F.col("doc").cast("array<variant>")).otherwise(F.array("doc"))
+    rows = F.when(kind.startswith("ARRAY"), F.col("doc").try_cast("array<variant>")).otherwise(F.array("doc"))
     return whole.select(F.posexplode_outer(rows).alias("at", "record")).where("at is not null")
 
 
@@ -201,5 +200,3 @@ def humanize_bytes(n: int) -> str:
             break
     return f"{x:.1f} {unit}"
 
-
-__all__ = ["CSV_OPTIONS", "humanize_bytes", "inspect", "json_fields", "json_records", "json_schema_frame", "memory_bytes", "narrow_frame", "parquet_footers", "parquet_leaves", "re"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.errors import InvalidArgs, UnsupportedInput
 from lodestone.functions.masking import mask, mask_column, sensitive_fragment
-from lodestone.functions.types import ARRAY, BOOLEAN, INTEGER, NUMERIC, OBJECT, STRING, profile_type
+from lodestone.functions.types import ARRAY, BOOLEAN, NUMERIC, OBJECT, STRING, profile_type
 from lodestone.sources.formats import ordered, quoted, read_typed
 
 TOP, DECIMALS = 10, 9
@@ -188,5 +188,3 @@ def profile_file(spark, path: str, fmt: str, columns: list[str] | None = None, s
         df = first_rows(df, path, fmt, sample)
     return {"sample_size": sample, "columns": profile(df, columns, exact)}
 
-
-__all__ = ["INTEGER", "choose_columns", "counts_frame", "first_rows", "frequencies", "masked_top_values", "metric_frame", "profile", "profile_file", "profile_frame", "top_values"]

@@ -325,3 +325,18 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [(0, 3)]
+
+
+def test_declared_pipeline(spark, people, tmp_path):
+    from lodestone.operators.pipeline import run_pipeline
+
+    steps = [
+        {"name": "out", "op": "write", "input": "masked", "path": str(tmp_path / "out")}, {"name": "raw", "op": "read", "path": people}, {"name": "checked", "op": "quality", "input": "raw", "rules": [{"name": "mail", "kind": "not_null", "column": "email"}]},
+        {"name": "some", "op": "filter", "input": "checked", "where": "email is not null"}, {"name": "masked", "op": "anonymise", "input": "some", "columns": {"email": {"method": "mask"}}}, {"name": "n", "op": "sql", "inputs": ["raw"], "query": "SELECT count(*) AS n FROM raw"},
+    ]
+    tables, manifest = run_pipeline(spark, steps)
+    assert tables["n"].first().n == 3 and {r.email for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"al…om", "bo…rg"}
+    assert next(m for m in manifest if m["name"] == "checked")["failed"] == ["mail"]
+    for bad in ([{"name": "a", "op": "nope"}], [{"name": "a", "op": "filter", "input": "b"}], [{"name": "a", "op": "filter", "input": "a"}]):
+        with pytest.raises(InvalidArgs):
+            run_pipeline(spark, bad)
