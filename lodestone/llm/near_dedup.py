@@ -179,7 +179,6 @@ def _verify_blocks(percent: int):
 
 def _large_links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links within clusters too large for one task; see the module's text."""
-    spark = sets.sparkSession
     sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     lead = dealt.where("doc_id = lead").select("doc_id", "cluster", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_lead"))
@@ -195,7 +194,7 @@ def _large_links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     as_query = near.where("not linked").select("cluster", at("qb").alias("a"), F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("b"), F.lit(True).alias("query"), "doc_id", "shingles")
     as_target = near.select("cluster", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("a"), at("tb").alias("b"), F.lit(False).alias("query"), "doc_id", "shingles")
     more = as_query.union(as_target).groupBy("cluster", "a", "b").applyInArrow(_verify_blocks(percent), "u long, v long")
-    return links.union(more) if spark is not None else links
+    return links.union(more)
 
 
 def near_components(docs: DataFrame, percent: int = 85, words: int = 5, t: int = 512, bands: int = 64, group_limit: int = 1000, block: int = 500) -> DataFrame:
