@@ -12,10 +12,13 @@ Ranks come from counts of salted groups, so neither a task nor the driver ever h
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,35 +29,72 @@ from lodestone.llm._common import stash, text_or_empty
 
 END = 1
 
+#: What the tokenizer's file splits words by, for texts of ASCII and Latin-1 letters in lower case.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\x0b\x0c\r0-9a-zß-öø-ÿ]+")
+#: Texts that this holds for: no letters or digits but those, nothing to normalise, no other white space.
+LATIN = re.compile("[\x00-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*")
+#: Byte-level models write each byte as a character: itself if it prints, else the next free one from 256 on.
+PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: b if b in PRINTS else 256 + sum(c not in PRINTS for c in range(b)) for b in range(256)}
+
+
+class Held(dict):
+    """What `make` gives for each key, held in two generations of bounded size: keys still in use move to the younger."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.old.get(key) or self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
 
 class CachedTokenizer:
-    """Ids of whole texts. Tokens never span ASCII white space, so each blank-separated word is encoded once."""
+    """Ids of whole texts, each distinct word encoded about once for each worker.
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    Tokens never span words, so a text's ids are those of its words one after the other. Latin texts are split here as the
+    tokenizer's file says and their words go to its model; any other text is split at ASCII white space, which no
+    word spans, and its parts go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, cache_words: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache_words, self.cache = Tokenizer.from_file(path), cache_words, {}
+        whole = Tokenizer.from_file(path)
+        model = whole.model
+        self.latin = Held(lambda w: _bytes([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(BYTES))]), cache_words)
+        self.other = Held(lambda w: _bytes(whole.encode(w, add_special_tokens=False).ids), cache_words // 4)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for text in texts:
-            parts = text.encode().split()
-            cache = self.cache
-            new = [w for w in dict.fromkeys(parts) if w not in cache]
-            if new:
-                if len(cache) + len(new) > self.cache_words:
-                    cache.clear()
-                    new = list(dict.fromkeys(parts))
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join([cache[w] for w in parts]))
+            latin = LATIN.fullmatch(text) and "<|" not in text
+            parts, held = (WORDS.findall(text.lower()), self.latin) if latin else ([w.decode() for w in text.encode().split()], self.other)
+            out.append(b"".join(map(held.__getitem__, parts)))
+            held.trim()
         return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> CachedTokenizer:
+    """One for each Python worker, which serves many tasks."""
+    return CachedTokenizer(path)
+
+
 def _piece_batches(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer(path)
+        tokenizer = worker_tokenizer(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
