@@ -99,6 +99,24 @@ def plain_spans(t):
     return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
 
 
+def plain_all_spans(t, scope=200):
+    base = plain_spans(t)
+    weak = [(k, m.start(), m.end()) for k, p, g, least in secrets.KINDS[3:] for m in re.finditer(p, t) if len(m[g]) >= least]
+    has_id = [a for k, a, _ in base + weak if k in ("access", "user")]
+    strong = lambda a: any(k == "assign" and abs(a - x) <= scope for k, x, _ in base)
+    keys = [a for k, a, _ in weak if k == "key"]
+    near = lambda a, others: any(abs(a - x) <= scope for x in others)
+    out = list(base)
+    for k, a, b in weak:
+        if any(a < y and b > x for _, x, y in base):
+            continue
+        ident, secret = near(a, has_id), strong(a) or near(a, keys)
+        if (k == "key" and ident) or (k == "user" and secret) or (k == "endpoint" and ident and secret):
+            out.append((k, a, b))
+    order = [k[0] for k in secrets.KINDS]
+    return sorted(out, key=lambda s: (s[1], order.index(s[0])))
+
+
 def joined(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -111,16 +129,25 @@ def test_secrets(spark, docs, texts):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
 
 
+def test_linking_against_all_pairs(spark):
+    rnd = random.Random(11)
+    parts = ["AKIA" + "Q7" * 8, "AKIAB12", "user=bob_1", "login : x9", "password=hunter22", "token = ab", "Zx9" * 12, "aB3-_/" * 8, "https://h.example/p", "host: db.example.com:5432", "0123456789abcdef" * 2, "secret=token:abcdef"]
+    rows = [(i, "".join(rnd.choice(parts) + " é" * rnd.randrange(60) + rnd.choice([" ", "\n", ", "]) for _ in range(rnd.randrange(1, 14)))) for i in range(150)]
+    got = {r.doc_id: r.spans for r in secrets.scan(make(spark, rows)).collect()}
+    assert got == {i: joined(plain_all_spans(t)) for i, t in rows} and sum("key:" in x or "endpoint:" in x for x in got.values()) > 40
+
+
 def test_secret_linking(spark):
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
     linked = f"é AKIA{'A1' * 8} then {key} at https://db.example.com/x"
-    rows = [(1, linked), (2, f"only {key} and https://db.example.com/x"), (3, f"AKIA{'B2' * 8}" + " filler" * 60 + f" {key}"), (4, None), (5, "user: bob9 password = hunter22"), (5, "user: bob9 password = hunter22"), (None, "token=abcdef"), (6, "TOKEN : 'abc'")]
+    rows = [(1, linked), (2, f"only {key} and https://db.example.com/x"), (3, f"AKIA{'B2' * 8}" + " filler" * 60 + f" {key}"), (4, None), (5, "user: bob9 password = hunter22"), (5, "user: bob9 password = hunter22"), (None, "token=abcdef"), (6, "TOKEN : 'abc' secret=token:abcdef"), (7, "AKIAX" + "AKIA" * 5 + " AKIAB 0123456789abcdef01234567g" + "f" * 23)]
     got = defaultdict(list)
     for r in secrets.scan(make(spark, rows)).collect():
         got[r.doc_id].append(r)
     kinds = lambda i: [x.split(":")[0] for x in got[i][0].spans.split(",") if x]
     assert kinds(1) == ["access", "key", "endpoint"] and kinds(2) == [] and kinds(3) == ["access"] and kinds(4) == []
     assert kinds(5) == ["user", "assign"] and len(got[5]) == 2 and kinds(None) == ["assign"] and kinds(6) == []
+    assert got[7][0].base_sha256 == hashlib.sha256(joined(plain_spans(rows[-1][1])).encode()).hexdigest() and kinds(7) == ["access", "hex"]
     spans = [x.split(":") for x in got[1][0].spans.split(",")]
     assert [linked[int(a) : int(b)] for _, a, b in spans] == [f"AKIA{'A1' * 8}", key, "https://db.example.com/x"]
     red = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(make(spark, rows)).collect()}
