@@ -66,9 +66,11 @@ for _t, _cols in NUMERIC.items():
         f"profile_minmax_numeric_{_t}", lambda s, d, t=_t, c=tuple(_cols): profile.metric_frame(table(s, d, t).select(*((F.col(x).cast("double") + 0.0).alias(x) for x in c)), ["min", "max"]),
         _union([f"SELECT '{c}' AS column_name, min({c}::DOUBLE) + 0.0::DOUBLE AS min, max({c}::DOUBLE) + 0.0::DOUBLE AS max FROM {_t}" for c in _cols]),
     )
+# Means of rates have few digits and may fall between two roundings at 6 places; prices have noise beyond 6.
+for _n, _t, _cols, _places in (("orders", "orders", NUMERIC["orders"], 6), ("lineitem", "lineitem", ["l_orderkey", "l_quantity", "l_extendedprice"], 6), ("rates", "lineitem", ["l_discount", "l_tax"], 9)):
     register(
-        f"profile_moments_{_t}", lambda s, d, t=_t, c=tuple(_cols): profile.metric_frame(table(s, d, t).select(*c), ["mean", "stddev"]).select("column_name", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev")),
-        _union([f"SELECT '{c}' AS column_name, round(avg({c}::DOUBLE), 6) AS mean, round(stddev_samp({c}::DOUBLE), 6) AS stddev FROM {_t}" for c in _cols]),
+        f"profile_moments_{_n}", lambda s, d, t=_t, c=tuple(_cols), k=_places: profile.metric_frame(table(s, d, t).select(*c), ["mean", "stddev"]).select("column_name", F.round("mean", k).alias("mean"), F.round("stddev", k).alias("stddev")),
+        _union([f"SELECT '{c}' AS column_name, round(avg({c}::DOUBLE), {_places}) AS mean, round(stddev_samp({c}::DOUBLE), {_places}) AS stddev FROM {_t}" for c in _cols]),
     )
 register(
     "profile_minmax_string", lambda s, d: profile.metric_frame(table(s, d, "customer").select("c_name", "c_mktsegment"), ["min", "max"]),
