@@ -17,13 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import text_or_empty
+from lodestone.llm._common import stash, text_or_empty
 
-#: Name, pattern, group whose length counts, least length. The first three are the base kinds.
+#: Name, pattern, group whose length counts, least length. The first three are the base kinds. A run of the
+#: access or hex kind is matched whole or not at all, so its least length may stand in the pattern; an assignment that is
+#: too short still takes its place from what overlaps it.
 KINDS = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
     ("user", r"""(?i:\b(user|username|user_?id|login|client_?id|account_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 2, 3),
     ("key", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]+={0,2}", 0, 32),
     ("endpoint", r"""\b[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|(?i:\b(endpoint|host|server))["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(:[0-9]+)?""", 0, 6),
@@ -85,7 +87,7 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
 
 def find_spans(docs: DataFrame, scope: int = 200) -> DataFrame:
     """(doc_id, text_hash, rank, kind, start, end): every base span and every linked weak one of each distinct row."""
-    parts = _parts(_keyed(docs))
+    parts = stash(_parts(_keyed(docs)))  # few rows, read in four places; the texts are searched once
     return parts.where(F.col("kind").isin(BASE)).union(_linked(parts, scope))
 
 
