@@ -1,17 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Every benchmark item gives word n-grams. A first pass over the corpus counts in how many documents each occurs;
-of every `stride` consecutive n-grams of an item the rarest becomes a seed, so any stretch of 2 * stride + n - 2
-unchanged words has one, and frequent phrases are avoided where a rarer neighbour stands in. A second pass finds
-the seeds in documents, gathers those of one item that lie near one diagonal, and aligns the item with the words
-around them. A pair is reported when the best local alignment reaches `least` of the item's own score.
+Every benchmark item gives word n-grams. A first pass over the corpus finds which of them occur in a document;
+each of these is a seed. None is passed over for a rarer neighbour, since an edit may have broken that one in
+the only copy. A second pass finds the seeds in documents, gathers those of one item that lie near one diagonal,
+and aligns the item with the words around them, as far as gaps can reach. A pair is reported when the best local
+alignment reaches `least` of the item's own score, so every such alignment with n unchanged words in a row is found.
 
 Items are held by each task. A benchmark larger than `block_bytes` goes through in blocks of items, so memory
-does not grow with it. Of the corpus, only counts of benchmark n-grams reach the driver.
+does not grow with it. Of the corpus, only benchmark n-grams that occur reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,15 +42,9 @@ class Items:
             if m:
                 self.grams[m] += [(k, o, x) for o, x in enumerate(grams(w, m).tolist())]
 
-    def seeds(self, frequency: dict[int, int], stride: int) -> dict[int, list[tuple[int, int, int]]]:
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        for m, rows in self.grams.items():
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for k, o, x in rows:
-                at = (k, o // stride)
-                best[at] = min(best.get(at, (1 << 62, 0, 0)), (frequency.get(x, 0), o, x))
-            out[m] = [(k, o, x) for (k, _), (_, o, x) in best.items()]
-        return out
+    def seeds(self, occurring: set[int]) -> dict[int, list[tuple[int, int, int]]]:
+        out = {m: [row for row in rows if row[2] in occurring] for m, rows in self.grams.items()}
+        return {m: rows for m, rows in out.items() if rows}
 
 
 class Lookup:
@@ -77,9 +72,9 @@ def _grams_in_texts(h: np.ndarray, bounds: np.ndarray, m: int) -> tuple[np.ndarr
     return x, bounds[owner + 1] >= np.arange(len(x)) + m
 
 
-def _count_batches(by_length: dict[int, Lookup]):
+def _occurring_batches(by_length: dict[int, Lookup]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {m: np.zeros(len(s.sorted), np.int64) for m, s in by_length.items()}
+        met = {m: np.zeros(len(s.sorted), bool) for m, s in by_length.items()}
         for batch in batches:
             text = batch.column(1)
             for i, j in string_slices(text):
@@ -87,13 +82,9 @@ def _count_batches(by_length: dict[int, Lookup]):
                 for m, seen in by_length.items():
                     x, valid = _grams_in_texts(h, bounds, m)
                     at, place = seen.find(x)
-                    at, place = at[valid[at]], place[valid[at]]
-                    doc = np.searchsorted(bounds, at, side="right") - 1
-                    pairs = np.unique(doc * len(seen.sorted) + place)  # a document counts once
-                    np.add.at(counts[m], pairs % len(seen.sorted), 1)
+                    met[m][place[valid[at]]] = True
         for m, seen in by_length.items():
-            keep = counts[m] > 0
-            yield pa.RecordBatch.from_arrays([pa.array(seen.sorted[keep].astype(np.int64)), pa.array(counts[m][keep])], names=["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen.sorted[met[m]].astype(np.int64))], names=["gram"])
 
     return run
 
@@ -162,7 +153,7 @@ def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], le
                 jobs = []
                 for (d, k), at in hits.items():
                     w = len(items.words[k])
-                    slack = max(8, w // 2)
+                    slack = max(8, math.ceil(MATCH * w * (1 - least)))  # words that gaps can take and leave enough score
                     group: list[tuple[int, int]] = []
                     for diagonal in [*sorted(at), None]:
                         if group and (diagonal is None or diagonal[0] - group[-1][0] > slack):
@@ -184,7 +175,7 @@ def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], le
     return run
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride: int = 2, least: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, first_word) of each document of docs(doc_id, text, ...) and item of
     benchmark(item_id, text, ...) whose best alignment reaches least of the item's own score.
 
@@ -205,8 +196,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 3, stride
         if not items.grams:
             continue
         by_length = {m: Lookup([x for *_, x in g]) for m, g in items.grams.items()}
-        counted = docs.mapInArrow(_count_batches(by_length), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = {r.gram % (1 << 64): r.n for r in counted.collect()}  # benchmark n-grams of this block at most
-        pairs = docs.mapInArrow(_pair_batches(items, items.seeds(frequency, stride), least), OUT)
+        met = docs.mapInArrow(_occurring_batches(by_length), "gram long").distinct()
+        seeds = items.seeds({r.gram % (1 << 64) for r in met.collect()})  # benchmark n-grams of this block at most
+        if not seeds:
+            continue
+        pairs = docs.mapInArrow(_pair_batches(items, seeds, least), OUT)
         out = pairs if out is None else out.union(pairs)
     return spark.createDataFrame([], OUT) if out is None else out

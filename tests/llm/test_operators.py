@@ -258,6 +258,27 @@ def test_contamination_of_edits(spark):
     assert decontaminate.contaminated_pairs(make(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_contamination_of_lone_edited_copies(spark):
+    rnd = random.Random(7)
+    items = {i: [f"w{i}-{j}" for j in range(n)] for i, n in enumerate([40] * 6 + [15] * 30)}
+    other = lambda i, n: [f"v{i}-{j}" for j in range(n)]
+    rows = {}
+    for i, w in items.items():  # each copy is its item's only one: every fourth word new, a long gap, or random words new
+        copy = [x if (k + i) % 4 else f"new{i}-{k}" for k, x in enumerate(w)] if i < 4 else list(w)
+        if i in (4, 5):
+            copy[20:20] = other(f"gap{i}", 34 + i)
+        for k in rnd.sample(range(len(w)), 4) if i > 5 else ():
+            copy[k] = f"new{i}-{k}"
+        rows[i] = other(i, 50) + copy + other(f"end{i}", 50)
+    rows[100] = other(100, 50) + items[6][:3] + other("end100", 50)  # one run of an item makes no copy
+    runs = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    want = {(d, i) for d, t in rows.items() for i, w in items.items() if runs(w) & runs(t) and plain_alignment(w, t) >= len(w)}
+    assert {(i, i) for i in range(6)} <= want and len(want) > 30
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(make(spark, [(d, " ".join(t)) for d, t in rows.items()]), bench).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # --- 5
 
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
