@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas video audio head title textarea select".split())
+#: Of these, what is not read as raw text: the content is markup, and elements may be left open.
+MARKUP = frozenset("noscript template svg math canvas video audio".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav header footer aside form button dialog menu input select textarea label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -39,6 +41,8 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?(?=[\s/>]|$)""", re.I)
 WORD = re.compile(r"[a-z]+")
+#: A solidus at the end of a tag that is part of an unquoted value.
+IN_VALUE = re.compile(r"=\s*[^\s\"']*/\Z")
 NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -64,10 +68,39 @@ def _unwanted(tag: str, attrs: str) -> bool:
     return False
 
 
+def _closes(tag: str, attrs: str) -> bool:
+    """Whether a start tag is its own end; only svg and math can be."""
+    return tag in ("svg", "math") and attrs.endswith("/") and not IN_VALUE.search(attrs)
+
+
+def _markup_ends(page: str, pos: int) -> dict[int, int]:
+    """Where elements of MARKUP that start at pos or later end, by their start; those without an end tag are left out."""
+    open_: dict[str, list[int]] = {tag: [] for tag in MARKUP}
+    out: dict[int, int] = {}
+    unclosed: set[str] = set()  # an end tag that was not found once is not there later
+    while m := TOKEN.search(page, pos):
+        pos = m.end()
+        tag = (m["tag"] or m["end"] or "").lower()
+        if tag in MARKUP:
+            if m["end"]:
+                if open_[tag]:
+                    out[open_[tag].pop()] = pos
+            elif not _closes(tag, m["attrs"] or ""):
+                open_[tag].append(m.start())
+        elif m["tag"] and tag in RAW - {"head", "object", "select"} and tag not in unclosed:
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+            if close:
+                pos = close.end()
+            else:
+                unclosed.add(tag)
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of what may be main text; unwanted elements leave no node."""
     root = at = Node("html", None)
     skipping: list[str] = []  # open elements within an unwanted one, itself first
+    ends: dict[int, int] | None = None
     pos, end = 0, len(page)
     while pos < end:
         m = TOKEN.search(page, pos)
@@ -86,6 +119,14 @@ def parse(page: str) -> Node:
                 if not skipping:
                     at.children.append(" " if tag == "br" else Node(tag, at))
                 continue
+            if tag in MARKUP:
+                if not _closes(tag, attrs):
+                    if ends is None:
+                        ends = _markup_ends(page, m.start())
+                    pos = ends.get(m.start(), pos)
+                if pos > m.end() and not skipping:
+                    at.children.append(Node("wbr", at))
+                continue
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
                 pos = close.end() if close else (pos if tag in ("head", "object", "select") else end)
@@ -248,6 +289,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty html, or a page without main text, gives an empty text and 0; ids and URLs stay as they are, null or
     not; repeated rows each get their row; extra columns are ignored; no rows give no rows. Nothing is cut from long pages.
+    What follows an svg, math, video, audio, canvas, template or noscript that is never closed counts as text of the page.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

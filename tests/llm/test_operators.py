@@ -307,6 +307,20 @@ def test_main_text(spark, sf):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "video", "audio", "canvas", "template", "noscript"])
+def test_main_text_after_unclosed_elements(tag):
+    first, second = (f"{x}, with words, and commas, of a good length to score." for x in ("First", "Second"))
+    page = "<body><article><p>{}</p>{}<p>{}</p>{}</article></body>"
+    text = lambda a, b="": html_text.main_text(page.format(first, a, second, b))
+    own = [f'<{tag} class="a"/>', f"<{tag} />"] if tag in ("svg", "math") else []
+    for start in [f"<{tag}>", f'<{tag} class="a">', f"<{tag} src=a/>", *own]:
+        for later in ("", f"<{tag}>gone</{tag}>", f"<{tag}>gone<{tag}>gone</{tag}></{tag}>"):
+            assert text(start, later) == f"{first}\n{second}"
+    for closed in (f"<{tag}>gone</{tag}>", f"<{tag}>gone<{tag}>gone</{tag}>gone</{tag}>", f"<{tag}>gone<!-- <{tag}> --><script>'<{tag}>'</script></{tag.upper()} >"):
+        assert text(closed) == f"{first}\n{second}"
+    assert html_text.main_text(f"<p>{first}</p>" + f"<{tag}>" * 20_000 + f"<p>{second}</p>") == f"{first}\n{second}"
+
+
 # --- 6
 
 
