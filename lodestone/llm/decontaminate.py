@@ -4,7 +4,8 @@ Every benchmark item gives word n-grams. A first pass over the corpus finds whic
 each of these is a seed. None is passed over for a rarer neighbour, since an edit may have broken that one in
 the only copy. A second pass finds the seeds in documents, gathers those of one item that lie near one diagonal,
 and aligns the item with the words around them, as far as gaps can reach. A pair is reported when the best local
-alignment reaches `least` of the item's own score, so every such alignment with n unchanged words in a row is found.
+alignment reaches `least` of the item's own score or, however long the item, that of `passage` matching words, so
+every such alignment with n unchanged words in a row is found.
 
 Items are held by each task. A benchmark larger than `block_bytes` goes through in blocks of items, so memory
 does not grow with it. Of the corpus, only benchmark n-grams that occur reach the driver.
@@ -131,7 +132,7 @@ def _aligned(items: list[np.ndarray], texts: list[np.ndarray], cells: int = 1 <<
 OUT = "doc_id long, item_id long, score double, n_seeds long, first_word long"
 
 
-def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], least: float):
+def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], least: float, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {m: Lookup([x for *_, x in rows]) for m, rows in seeds.items()}
         at_seed = {m: defaultdict(list) for m in seeds}
@@ -153,7 +154,7 @@ def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], le
                 jobs = []
                 for (d, k), at in hits.items():
                     w = len(items.words[k])
-                    slack = max(8, math.ceil(MATCH * w * (1 - least)))  # words that gaps can take and leave enough score
+                    slack = max(8, math.ceil(MATCH * (w - min(w * least, passage))))  # words that gaps can take and leave enough score
                     group: list[tuple[int, int]] = []
                     for diagonal in [*sorted(at), None]:
                         if group and (diagonal is None or diagonal[0] - group[-1][0] > slack):
@@ -166,7 +167,7 @@ def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], le
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
                 for (d, k, n, lo, _), s in zip(jobs, scores, strict=True):
                     score = s / (MATCH * len(items.words[k]))
-                    if score >= least:
+                    if score >= least or s >= MATCH * passage:
                         best[d, k] = max(best.get((d, k), (0.0, 0, 0)), (score, n, int(bounds[d]) - lo))
                 rows = [(ids[i + d], items.ids[k], s, n, -first) for (d, k), (s, n, first) in sorted(best.items())]
                 if rows:
@@ -175,9 +176,9 @@ def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], le
     return run
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_bytes: int = 8_000_000) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_bytes: int = 8_000_000, passage: int = 50) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, first_word) of each document of docs(doc_id, text, ...) and item of
-    benchmark(item_id, text, ...) whose best alignment reaches least of the item's own score.
+    benchmark(item_id, text, ...) whose best alignment reaches least of the item's own score or that of passage words.
 
     Words are split at white space with A-Z lower-cased. score is the share of the item's own score, n_seeds the seeds
     of the best place and first_word where its window begins. Null and empty texts and items align with nothing; null
@@ -200,6 +201,6 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 3, least:
         seeds = items.seeds({r.gram % (1 << 64) for r in met.collect()})  # benchmark n-grams of this block at most
         if not seeds:
             continue
-        pairs = docs.mapInArrow(_pair_batches(items, seeds, least), OUT)
+        pairs = docs.mapInArrow(_pair_batches(items, seeds, least, passage), OUT)
         out = pairs if out is None else out.union(pairs)
     return spark.createDataFrame([], OUT) if out is None else out

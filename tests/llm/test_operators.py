@@ -279,6 +279,18 @@ def test_contamination_of_lone_edited_copies(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_contamination_by_passages_of_long_items(spark):
+    item = [f"w{j}" for j in range(300)]
+    pad = [f"v{j}" for j in range(40)]
+    split = item[100:140] + pad[:30] + item[140:175]  # 75 words with a gap, worth 60
+    rows = [(1, item[20:160]), (2, item[100:150]), (3, item[100:149]), (4, split), (5, item[100:140] + pad + item[140:145]), (6, item[:20] + pad + item[250:])]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"u{j}" for j in range(59)))], "item_id long, text string")
+    docs = make(spark, [(d, " ".join(pad + t + pad)) for d, t in rows] + [(9, " ".join(f"u{j}" for j in range(29)))])
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated_pairs(docs, bench).collect()}
+    assert got == {(d, 7): plain_alignment(item, pad + t + pad) / 600 for d, t in rows if plain_alignment(item, pad + t + pad) >= 100}
+    assert {d for d, _ in got} == {1, 2, 4, 6}
+
+
 # --- 5
 
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
