@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import text_or_empty, utf8_parts
-from lodestone.llm.shingles import U, mix, prefix_hash, span_hash, words
+from lodestone.llm.shingles import U, mix, span_hash, words
 
 PARTS, CELLS = 3, 8
 CELL = np.dtype([("count", "<i4"), ("digests", "<u8"), ("checks", "<u4")])
@@ -39,7 +39,7 @@ def paragraph_digests(raw: np.ndarray, offsets: np.ndarray, cut: int = 7) -> tup
     new[bounds[:-1][bounds[:-1] < n]] = True
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [n])) - 1
-    digests = span_hash(prefix_hash(raw), starts[first], ends[last])
+    digests = span_hash(raw, starts[first], ends[last])
     owner = np.searchsorted(bounds, first, side="right") - 1
     order = np.lexsort((digests, owner))
     digests, owner = digests[order], owner[order]

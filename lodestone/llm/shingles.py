@@ -1,19 +1,17 @@
 """Word and shingle hashes of many texts at once, with numpy.
 
-Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased; a word's
-hash is a polynomial over its bytes modulo 2**64, mixed. Everything works on UTF-8 bytes, so a text
-of any language gives the same words as the same split by code points.
+Words are the maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. A word's hash chains its
+8-byte blocks through a mixing function, so that unlike a polynomial it has no pairs of strings that collide by
+their form; words of more than 64 bytes go through xxh3. Everything works on UTF-8 bytes, so a text of any
+language gives the same words as the same split by code points.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
+import xxhash
 
 U = np.uint64
-_B = 0x9E3779B97F4A7C15 | 1
-_BINV = pow(_B, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,45 +28,44 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed)) | U(1)
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
-
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, by doubling."""
-    out = []
-    for base in (_B, _BINV):
-        p = np.ones(size, U)
-        done = 1
-        while done < size:
-            step = min(done, size - done)
-            p[done : done + step] = p[:step] * U(pow(base, done, 1 << 64))
-            done += step
-        out.append(p)
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
-    return _powers(size)
-
-
-def prefix_hash(raw: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """P with P[j] - P[i] = sum of table[raw[k]] * B**k for i <= k < j."""
-    out = np.zeros(len(raw) + 1, U)
-    np.cumsum(table[raw] * powers(len(raw))[0][: len(raw)], out=out[1:])
+#: Keeps the first k bytes of a little-endian block.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+_LONG = 64
+
+
+def blocks_at(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a little-endian number; beyond the end they are 0."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each byte span; equal bytes give equal hashes wherever they stand."""
+    sizes = ends - starts
+    blocks = blocks_at(raw)
+    out = mix(sizes.astype(U) * U(0x9E3779B97F4A7C15) + U(0xA24BAED4963EE407))
+    todo = np.flatnonzero(sizes <= _LONG)
+    at = starts[todo]
+    left = sizes[todo]
+    while len(todo):
+        out[todo] = mix(out[todo] ^ (blocks[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
     return out
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed hash of each byte span; equal bytes give equal hashes wherever they stand."""
-    inv = powers(len(prefix))[1]
-    return mix((prefix[ends] - prefix[starts]) * inv[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+def digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 128-bit xxh3 digest of each byte span as a row of two numbers."""
+    data = raw.tobytes()
+    found = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +80,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     before[inner], after[inner - 1] = True, True
     np.logical_not(space, out=space)
     starts, ends = np.flatnonzero(space & before), np.flatnonzero(space & after) + 1
-    hashes = span_hash(prefix_hash(raw, _BYTE_LOWER), starts, ends)
+    hashes = span_hash(_LOWER[raw], starts, ends)
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -92,10 +89,10 @@ def grams(hashes: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     m = len(hashes) - n + 1
     if m <= 0:
         return np.zeros(0, U)
-    out = np.zeros(m, U)
-    for k, c in enumerate(odd_constants(n, seed)):
-        out += hashes[k : k + m] * c
-    return mix(out)
+    out = np.full(m, U(seed))
+    for k in range(n):
+        out = mix(out + hashes[k : k + m])
+    return out
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.ndarray]:

@@ -12,8 +12,8 @@ bytes of the first of each kind are gathered by anchor, and a suffix array of th
 
 Because windows with different anchors cannot be equal, no suffix array spans tasks, and only runs that may repeat
 in part are sorted. A task first drops the repeats within its own batch, so a passage in a third of all documents
-reaches the shuffle once for each batch. An anchor with more than `hot` differing runs is dealt anew by the
-hashes of its single windows.
+reaches the shuffle once for each batch. An anchor with more than `hot` differing runs is not gathered: its single
+windows meet by 128-bit digests, and an aggregation with partial sums finds the first of each.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import stash, string_slices, text_or_empty, utf8_parts
-from lodestone.llm.shingles import U, mix, powers, prefix_hash, span_hash
+from lodestone.llm.shingles import U, blocks_at, digests, mix
 
 KEY = ["ord", "dup"]
 
@@ -114,13 +114,23 @@ def repeated_windows(raw: np.ndarray, starts: np.ndarray, place: np.ndarray, len
 # --- runs of windows -----------------------------------------------------------------------------------------------
 
 
+def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` bytes from each position on, chained through blocks of 8."""
+    m = len(raw) - gram + 1
+    blocks = blocks_at(raw)
+    out = np.full(m, U(gram))
+    for k in range(0, gram, 8):
+        part = blocks[k : k + m]
+        out = mix(out ^ (part if gram - k >= 8 else part & U((1 << 8 * (gram - k)) - 1)))
+    return out
+
+
 def runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(anchor, content, text, start, windows) of each run; text is the index of its text, start is within it."""
     n = len(raw)
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    prefix = prefix_hash(raw)
-    hashes = mix((prefix[gram:] - prefix[:-gram]) * powers(n + 1)[1][: n - gram + 1])
+    hashes = _gram_hashes(raw, gram)
     # The least by 32 bits of hash, then the leftmost: what is chosen depends on the window's bytes alone. Equal windows
     # have it at the same distance, so two in one text never share its position, and no run repeats within itself.
     least = (hashes & U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=U)
@@ -142,7 +152,7 @@ def runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[
     text = np.searchsorted(offsets, a, side="right") - 1
     # Empty texts share an offset with the text after them; side="right" finds the last of these, which holds the bytes.
     anchor = hashes[(least[a] & U(0xFFFFFFFF)).astype(np.int64)]
-    return anchor.view(np.int64), span_hash(prefix, a, b + length).view(np.int64), text, a - offsets[text], b - a + 1
+    return anchor.view(np.int64), digests(raw, a, b + length)[:, 0], text, a - offsets[text], b - a + 1
 
 
 FIELDS = [("ord", pa.int64()), ("dup", pa.int32()), ("start", pa.int64()), ("windows", pa.int64())]
@@ -228,26 +238,19 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_batches(length: int):
-    """Bytes of the runs listed for each text; those of a hot anchor as single windows under their own hashes."""
+    """Bytes of the runs listed for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             size = 0
-            for ord_, dup, text, anchors, starts, windows, hots in zip(*(batch.column(c).to_pylist() for c in ("ord", "dup", "text", "anchors", "starts", "windows", "hots")), strict=True):
+            for ord_, dup, text, anchors, starts, windows in zip(*(batch.column(c).to_pylist() for c in ("ord", "dup", "text", "anchors", "starts", "windows")), strict=True):
                 raw = text.encode()
-                for anchor, start, count, hot in zip(anchors, starts, windows, hots, strict=True):
-                    if hot:
-                        part = np.frombuffer(raw[start : start + count + length - 1], np.uint8)
-                        at = np.arange(count)
-                        keys = span_hash(prefix_hash(part), at, at + length).view(np.int64).tolist()
-                        pieces = [(k, start + i, raw[start + i : start + i + length]) for i, k in enumerate(keys)]
-                    else:
-                        pieces = [(anchor, start, raw[start : start + count + length - 1])]
-                    for key, at_, piece in pieces:
-                        for col, x in zip(rows, (key, ord_, dup, at_, piece), strict=True):
-                            col.append(x)
-                        size += len(piece)
+                for anchor, start, count in zip(anchors, starts, windows, strict=True):
+                    piece = raw[start : start + count + length - 1]
+                    for col, x in zip(rows, (anchor, ord_, dup, start, piece), strict=True):
+                        col.append(x)
+                    size += len(piece)
                 if size > 8_000_000:
                     yield _cut_rows(rows)
                     rows, size = [[], [], [], [], []], 0
@@ -257,6 +260,25 @@ def _cut_batches(length: int):
     return run
 
 
+WINDOW = "w1 long, w2 long, ord long, dup int, start long"
+
+
+def _window_batches(length: int):
+    """The 128-bit digest of every single window of the runs listed for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ord_, dup, text, starts, windows in zip(*(batch.column(c).to_pylist() for c in ("ord", "dup", "text", "starts", "windows")), strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, windows, strict=True)])
+                for lo in range(0, len(at), 50_000):
+                    part = at[lo : lo + 50_000]
+                    d = digests(raw, part, part + length)
+                    yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.full(len(part), ord_)), pa.array(np.full(len(part), dup), pa.int32()), pa.array(part)], names=[c.split()[0] for c in WINDOW.split(", ")])
+
+    return run
+
+
 def _cut_rows(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "ord", "dup", "start", "bytes"])
 
@@ -330,6 +352,31 @@ def _removed_batches(length: int, with_text: bool):
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs(ord, text, ...) with dup, the place of a row among those with its ord, by text. Blocks of a range partitioning
+    keep rows of one ord, such as all without an id, from meeting in one task."""
+    if docs.groupBy("ord").count().where("count > 1").isEmpty():
+        return docs.withColumn("dup", F.lit(0))
+    ranged = stash(docs.repartitionByRange("ord", "text").withColumn("block", F.spark_partition_id()))
+    before = Window.partitionBy("ord").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ranged.groupBy("ord", "block").agg(F.count("*").alias("n")).select("ord", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = ranged.withColumn("inner", F.row_number().over(Window.partitionBy("ord", "block").orderBy("text")))
+    return stash(inner.join(blocks, ["ord", "block"]).withColumn("dup", (F.col("base") + F.col("inner")).cast("int")).drop("block", "inner", "base"))
+
+
+def _lists(open_: DataFrame) -> DataFrame:
+    return open_.groupBy(*KEY).agg(*(F.collect_list(c).alias(d) for c, d in (("anchor", "anchors"), ("start", "starts"), ("windows", "windows"))))
+
+
+def _hot_repeats(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """Repeats among the single windows of runs whose anchors have too many to gather."""
+    windows = stash(docs.select(*KEY, "text").join(_lists(open_), KEY).mapInArrow(_window_batches(length), WINDOW))
+    place = F.struct(*KEY, "start")
+    firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(firsts, ["w1", "w2"]).where(place > F.col("first"))
+    return later.select(F.lit(None).cast("long").alias("anchor"), *KEY, "start", F.lit(1).cast("long").alias("windows"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 16, hot: int = 20_000, with_text: bool = False) -> DataFrame:
     """Per row of docs(doc_id, text, ...): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, if asked for).
 
@@ -340,18 +387,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 16, hot: int
     Extra columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("ord", F.coalesce("doc_id", F.lit(-(2**63))))
-    if docs.groupBy("ord").count().where("count > 1").isEmpty():
-        docs = docs.withColumn("dup", F.lit(0))
-    else:
-        docs = stash(docs.withColumn("dup", F.row_number().over(Window.partitionBy("ord").orderBy("text"))))
+    docs = _numbered(docs)
     mapped = docs.select(*KEY, "text").mapInArrow(_run_batches(length, gram), RUN)
     sorted_runs = mapped.repartition(F.col("anchor")).sortWithinPartitions("anchor", "content", *KEY, "start")
     found = stash(sorted_runs.mapInArrow(_sift, FOUND))
     repeats, open_ = found.where("anchor is null"), found.where("anchor is not null")
-    hot_anchors = open_.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
-    open_ = open_.join(hot_anchors, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    lists = open_.groupBy(*KEY).agg(*(F.collect_list(c).alias(d) for c, d in (("anchor", "anchors"), ("start", "starts"), ("windows", "windows"), ("hot", "hots"))))
-    pieces = docs.select(*KEY, "text").join(lists, KEY).mapInArrow(_cut_batches(length), "anchor long, ord long, dup int, start long, bytes binary")
+    hot_anchors = stash(open_.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
+    if not hot_anchors.isEmpty():
+        repeats = repeats.union(_hot_repeats(docs, open_.join(hot_anchors, "anchor", "left_semi"), length))
+        open_ = open_.join(hot_anchors, "anchor", "left_anti")
+    pieces = docs.select(*KEY, "text").join(_lists(open_), KEY).mapInArrow(_cut_batches(length), "anchor long, ord long, dup int, start long, bytes binary")
     decided = pieces.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_decide(length), FOUND)
     ranges = repeats.union(decided).groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
     final = docs.join(ranges, KEY, "left").select("doc_id", "text", "starts", "windows")
