@@ -430,6 +430,56 @@ def test_bin_completion_reaches_optimum():
         assert sum(t for _, t in got) == optimum(sizes, 50)
 
 
+@pytest.mark.parametrize("bins, pieces, nodes", [(40, (2, 5), 20_000), (40, (3, 8), 20_000), (40, (4, 4), 20_000)])
+def test_bin_completion_solves_planted_packings(bins, pieces, nodes):
+    for seed in range(4):
+        rnd = random.Random(seed)
+        sizes = []
+        for _ in range(bins):
+            cuts = sorted(rnd.sample(range(1, 4096), rnd.randint(*pieces) - 1))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 4096], strict=True)]
+        got, proven = packing.search(Counter(sizes), 4096, nodes)
+        assert Counter(s for p, t in got for s in p * t) == Counter(sizes) and all(sum(p) <= 4096 for p, _ in got)
+        assert sum(t for _, t in got) == bins and proven
+
+
+def triplets(seed, bins, capacity=4096):
+    rnd = random.Random(seed)
+    sizes = []
+    for _ in range(bins):
+        a = rnd.randint(int(0.38 * capacity), int(0.49 * capacity))
+        b = rnd.randint(capacity // 4, (capacity - a) // 2)
+        sizes += [a, b, capacity - a - b]
+    return Counter(sizes)
+
+
+def test_bin_completion_beats_best_fit():
+    for seed in range(3):
+        sizes = triplets(seed, 30)
+        got, proven = packing.search(sizes, 4096)
+        assert sum(t for _, t in got) == 30 and proven and sum(t for _, t in packing.best_fit_decreasing(sizes, 4096)) > 32
+    assert packing.search({4096 // 3 + 1: 30, 5: 7}, 4096)[1]  # proven by the bound for large pieces
+    got, proven = packing.search(triplets(0, 40), 4096, nodes=3)
+    assert not proven and sum(t for _, t in got) >= 40
+
+
+def test_packing_beats_best_fit(spark):
+    sizes = triplets(1, 12, 128)
+    rows = [(i, " ".join(["the"] * (n - 1))) for i, n in enumerate(sizes.elements())]
+    got = packing.pack(make(spark, rows), tokenizer_path(), capacity=128).collect()
+    assert Counter(r.length for r in got) == sizes and all(r.optimal for r in got)
+    assert check_places(got, 128) == 12 < sum(t for _, t in packing.best_fit_decreasing(sizes, 128))
+
+
+def test_tokens_of_long_and_unspaced_texts_are_not_held():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        tok = packing.CachedTokenizer(f.read(), cache_bytes=20_000)
+    for k in range(200):
+        list(tok.ids(["\u6f22" * (2000 + k), "x" * 5000, " ".join(f"w{k}q{j}" for j in range(50))]))
+    for held in (tok.latin, tok.other):
+        assert all(len(w) <= held.LONGEST for w in [*held, *held.old]) and held.size <= held.most <= 20_000
+
+
 # --- 8
 
 
