@@ -1,91 +1,129 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
-
-Every benchmark item gives word n-grams. A first pass over the corpus finds which of them occur in a document;
-each of these is a seed. None is passed over for a rarer neighbour, since an edit may have broken that one in
-the only copy. A second pass finds the seeds in documents, gathers those of one item that lie near one diagonal,
-and aligns the item with the words around them, as far as gaps can reach. A pair is reported when the best local
-alignment reaches `least` of the item's own score or, however long the item, that of `passage` matching words, so
-every such alignment with n unchanged words in a row is found.
-
-Items are held by each task. A benchmark larger than `block_bytes` goes through in blocks of items, so memory
-does not grow with it. Of the corpus, only benchmark n-grams that occur reach the driver.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+
+Seeds are pairs of item words with no word or one between them, met in a text with no word or one between. Whatever
+the edits, an alignment that scores s has such pairs: of its m matched words, which earn 2 each, the steps from
+one to the next cost what lies between, so steps worth s - 2 (2 for neighbours on both sides, 1 with a word
+between on either) must be such pairs. Each place of an item begins one step. An alignment from a score of T on
+therefore keeps a seed when the (T - 3) / 2 most frequent places of the item are passed over: the seeds are the pairs
+of all other, rarer places, and no alignment that reaches T is lost. Items whose T is below 3 use single words.
+
+A first pass over the corpus counts the items' pairs, a second emits where seeds stand, and a join on the pair brings
+the items' places to them. Documents that met an item join what they met, and the words around each meeting are
+aligned, as far as gaps can reach. Seeds, places and meetings are tables; the driver holds only a bit table of
+2**BITS bits that passes the hashes of the items' pairs (and few others, which the join drops).
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import string_slices, text_or_empty, utf8_parts
-from lodestone.llm.shingles import U, grams, words
+from lodestone.llm._common import stash, string_slices, text_or_empty, utf8_parts
+from lodestone.llm.shingles import U, mix, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 PAD_ITEM, PAD_TEXT = U(1), U(2)
+BITS = 22
+
+
+def _steps(h: np.ndarray, d: int) -> np.ndarray:
+    """Hashes of the pairs of words d apart from each word on; of single words for d = 0."""
+    return mix(h + U(0x2545F4914F6CDD1D)) if d == 0 else mix(mix(h[:-d]) + h[d:]) if len(h) > d else np.zeros(0, U)
+
+
+def _within(bounds: np.ndarray, at: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, valid): whose text the word `at` is of, and whether the word d further on is of the same."""
+    owner = np.searchsorted(bounds, at, side="right") - 1
+    return owner, bounds[owner + 1] > at + d
 
 
-class Items:
-    """Benchmark items as rows of word hashes, and their n-grams (of all words, where there are fewer than n)."""
+def target(n_words: int, least: float, passage: int) -> float:
+    """The score from which a pair is reported."""
+    return MATCH * min(n_words * least, passage)
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.n, self.ids = n, [i for i, _ in rows]
-        h, _, _, bounds = words(*utf8_parts(pa.array([t for _, t in rows], pa.large_string())))
-        self.words = [h[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        #: By n-gram length: (item, offset, hash) of each.
-        self.grams: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for k, w in enumerate(self.words):
-            m = min(n, len(w))
-            if m:
-                self.grams[m] += [(k, o, x) for o, x in enumerate(grams(w, m).tolist())]
 
-    def seeds(self, occurring: set[int]) -> dict[int, list[tuple[int, int, int]]]:
-        out = {m: [row for row in rows if row[2] in occurring] for m, rows in self.grams.items()}
-        return {m: rows for m, rows in out.items() if rows}
+def _seed_batches(least: float, passage: int):
+    """(gram, item_id, item_hash, o, n_words) of each item's pairs, or single words where its target is below 3."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, _, _, bounds = words(*utf8_parts(batch.column(2)))
+            n = np.diff(bounds)
+            single = np.array([target(int(x), least, passage) < 3 for x in n], bool)
+            for d in (0, 1, 2):
+                x = _steps(h, d)
+                owner, valid = _within(bounds, np.arange(len(x)), d)
+                at = np.flatnonzero(valid & (single[owner] == (d == 0)) if len(x) else valid)
+                k = owner[at]
+                cols = [pa.array(x[at].view(np.int64)), batch.column(0).take(pa.array(k)), batch.column(1).take(pa.array(k)), pa.array(at - bounds[k]), pa.array(n[k])]
+                yield pa.RecordBatch.from_arrays(cols, names=["gram", "item_id", "item_hash", "o", "n_words"])
+
+    return run
+
 
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = np.zeros(1 << BITS, bool)
+    for batch in batches:
+        table[batch.column(0).to_numpy()] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
 
-class Lookup:
-    """Where hashes of a fixed set occur among many, by a bit table first and a binary search after."""
 
-    BITS = 18
+def _bit_table(seeds: DataFrame):
+    """A bit for each value of the first BITS bits of a gram, set where a seed has them."""
+    prefixes = seeds.select(F.shiftrightunsigned("gram", 64 - BITS).alias("prefix")).distinct().repartition(1)  # 2**BITS rows at most
+    return seeds.sparkSession.sparkContext.broadcast(bytes(prefixes.mapInArrow(_bitmap, "bits binary").first().bits))
 
-    def __init__(self, hashes: list[int]):
-        self.sorted = np.unique(np.array(hashes, U))
-        self.table = np.zeros(1 << self.BITS, bool)
-        self.table[(self.sorted >> U(64 - self.BITS)).astype(np.int64)] = True
 
-    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in x, places in self.sorted)"""
-        at = np.flatnonzero(self.table[(x >> U(64 - self.BITS)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.sorted, x[at]), len(self.sorted) - 1)
-        hit = self.sorted[place] == x[at]
-        return at[hit], place[hit]
+def _passed(text: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, owners, word positions in their texts, grams) of what the bit table passes."""
+    for i, j in string_slices(text):
+        h, _, _, bounds = words(*utf8_parts(text.slice(i, j - i)))
+        for d in (0, 1, 2):
+            x = _steps(h, d)
+            at = np.flatnonzero(table[(x >> U(64 - BITS)).astype(np.int64)])
+            owner, valid = _within(bounds, at, d)
+            at, owner = at[valid], owner[valid]
+            yield i, owner, at - bounds[owner], x[at]
 
 
-def _grams_in_texts(h: np.ndarray, bounds: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, valid) of the m-grams from each word on; valid where all m words are of one text."""
-    x = grams(h, m)
-    owner = np.searchsorted(bounds, np.arange(len(x)), side="right") - 1
-    return x, bounds[owner + 1] >= np.arange(len(x)) + m
+def _unpacked(bits) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
 
 
-def _occurring_batches(by_length: dict[int, Lookup]):
+def _count_batches(bits, most: int = 500_000):
+    """(gram, n) of what the bit table passes, summed within a task as far as `most` grams go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = {m: np.zeros(len(s.sorted), bool) for m, s in by_length.items()}
+        table = _unpacked(bits)
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            gram, n = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+
         for batch in batches:
-            text = batch.column(1)
-            for i, j in string_slices(text):
-                h, _, _, bounds = words(*utf8_parts(text.slice(i, j - i)))
-                for m, seen in by_length.items():
-                    x, valid = _grams_in_texts(h, bounds, m)
-                    at, place = seen.find(x)
-                    met[m][place[valid[at]]] = True
-        for m, seen in by_length.items():
-            yield pa.RecordBatch.from_arrays([pa.array(seen.sorted[met[m]].astype(np.int64))], names=["gram"])
+            for *_, grams in _passed(batch.column(2), table):
+                held.append(grams)
+                if sum(map(len, held)) > most:
+                    yield out()
+        yield out()
+
+    return run
+
+
+def _hit_batches(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _unpacked(bits)
+        for batch in batches:
+            for i, owner, p, grams in _passed(batch.column(2), table):
+                rows = pa.array(i + owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams.view(np.int64)), pa.array(p)], names=["doc_id", "doc_hash", "gram", "p"])
 
     return run
 
@@ -132,75 +170,91 @@ def _aligned(items: list[np.ndarray], texts: list[np.ndarray], cells: int = 1 <<
 OUT = "doc_id long, item_id long, score double, n_seeds long, first_word long"
 
 
-def _pair_batches(items: Items, seeds: dict[int, list[tuple[int, int, int]]], least: float, passage: int):
+def _align_batches(least: float, passage: int):
+    """Over documents with the items that they met and on which diagonals: the pairs that reach their target."""
+    fields = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_hash", pa.int64()), ("score", pa.float64()), ("n_seeds", pa.int64()), ("first_word", pa.int64())]
+
+    def solve(h: np.ndarray, met: list[dict], items: list[np.ndarray]) -> list[tuple]:
+        jobs = []
+        for k, (m, item) in enumerate(zip(met, items, strict=True)):
+            w = len(item)
+            goal = target(w, least, passage)
+            slack = math.ceil(MATCH * w - goal)  # words that gaps can take and leave enough score
+            diagonals = sorted(m["diagonals"])
+            cuts = [0, *(i for i in range(1, len(diagonals)) if diagonals[i] - diagonals[i - 1] > slack), len(diagonals)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                lo, hi = max(0, diagonals[a] - slack), min(len(h), diagonals[b - 1] + w + slack)
+                if MATCH * np.isin(h[lo:hi], item).sum() >= goal:
+                    jobs.append((k, b - a, lo, hi, goal))
+        scores = _aligned([items[k] for k, *_ in jobs], [h[lo:hi] for _, _, lo, hi, _ in jobs])
+        best: dict[int, tuple[float, int, int]] = {}
+        for (k, n, lo, _, goal), s in zip(jobs, scores, strict=True):
+            if s >= goal:
+                best[k] = max(best.get(k, (0.0, 0, 0)), (s / (MATCH * len(items[k])), n, -lo))
+        return [(met[k]["item_id"], met[k]["item_hash"], s, n, -lo) for k, (s, n, lo) in sorted(best.items())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = {m: Lookup([x for *_, x in rows]) for m, rows in seeds.items()}
-        at_seed = {m: defaultdict(list) for m in seeds}
-        for m, rows in seeds.items():
-            for k, o, x in rows:
-                at_seed[m][x].append((k, o))
         for batch in batches:
-            text, ids = batch.column(1), batch.column(0).to_pylist()
-            for i, j in string_slices(text):
-                h, _, _, bounds = words(*utf8_parts(text.slice(i, j - i)))
-                hits: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-                for m, seen in found.items():
-                    x, valid = _grams_in_texts(h, bounds, m)
-                    at, _ = seen.find(x)
-                    at = at[valid[at]]
-                    for p, d in zip(at.tolist(), (np.searchsorted(bounds, at, side="right") - 1).tolist(), strict=True):
-                        for k, o in at_seed[m][int(x[p])]:
-                            hits[d, k].add((p - o, p))
-                jobs = []
-                for (d, k), at in hits.items():
-                    w = len(items.words[k])
-                    slack = max(8, math.ceil(MATCH * (w - min(w * least, passage))))  # words that gaps can take and leave enough score
-                    group: list[tuple[int, int]] = []
-                    for diagonal in [*sorted(at), None]:
-                        if group and (diagonal is None or diagonal[0] - group[-1][0] > slack):
-                            lo = max(int(bounds[d]), group[0][0] - slack)
-                            hi = min(int(bounds[d + 1]), group[-1][0] + w + slack)
-                            jobs.append((d, k, len(group), lo, hi))
-                            group = []
-                        group.append(diagonal)
-                scores = _aligned([items.words[k] for _, k, *_ in jobs], [h[lo:hi] for *_, lo, hi in jobs])
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for (d, k, n, lo, _), s in zip(jobs, scores, strict=True):
-                    score = s / (MATCH * len(items.words[k]))
-                    if score >= least or s >= MATCH * passage:
-                        best[d, k] = max(best.get((d, k), (0.0, 0, 0)), (score, n, int(bounds[d]) - lo))
-                rows = [(ids[i + d], items.ids[k], s, n, -first) for (d, k), (s, n, first) in sorted(best.items())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
+            rows = []
+            for r in range(batch.num_rows):
+                met = batch.column(2)[r].as_py()
+                h = words(*utf8_parts(batch.column(1).slice(r, 1)))[0]
+                held, _, _, bounds = words(*utf8_parts(pa.array([m["item"] for m in met], pa.large_string())))
+                doc_id = batch.column(0)[r].as_py()
+                rows += [(doc_id, *x) for x in solve(h, met, [held[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
 
     return run
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, block_bytes: int = 8_000_000, passage: int = 50) -> DataFrame:
+def _block_pairs(docs: DataFrame, items: DataFrame, least: float, passage: int) -> DataFrame | None:
+    """Pairs (doc_id, item_id, item_hash, score, n_seeds, first_word) of docs(doc_id, doc_hash, text) with items(item_id, item_hash, item)."""
+    places = stash(items.mapInArrow(_seed_batches(least, passage), "gram long, item_id long, item_hash long, o long, n_words long"))
+    if places.isEmpty():
+        return None
+    counts = docs.mapInArrow(_count_batches(_bit_table(places)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = stash(counts.join(places.select("gram").distinct(), "gram", "left_semi"))  # pairs of this block at most
+    met = places.join(counts, "gram")
+    # The most frequent places of each item are passed over, as many as an alignment can spare; places not met at all cost nothing.
+    often = met.groupBy("item_id", "item_hash", "o").agg(F.sum("n").alias("often"), F.first("n_words").alias("n_words"))
+    spare = F.floor((F.least(F.col("n_words") * least, F.lit(passage)) * MATCH - 3) / 2)
+    ranked = often.withColumn("rank", F.row_number().over(Window.partitionBy("item_id", "item_hash").orderBy(F.desc("often"), "o")))
+    rare = ranked.where(F.col("rank") > spare).select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), F.col("o").alias("at"))
+    seeds = stash(met.join(rare, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")) & (F.col("o") == F.col("at")), "left_semi").select("gram", "item_id", "item_hash", "o"))
+    if seeds.isEmpty():
+        return None
+    hits = docs.mapInArrow(_hit_batches(_bit_table(seeds)), "doc_id long, doc_hash long, gram long, p long")
+    meetings = hits.join(seeds, "gram").groupBy("doc_id", "doc_hash", "item_id", "item_hash").agg(F.collect_set(F.col("p") - F.col("o")).alias("diagonals"))
+    named = items.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), "item")
+    meetings = meetings.join(named, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")))
+    meetings = stash(meetings.groupBy(F.col("doc_id").alias("d"), F.col("doc_hash").alias("dh")).agg(F.collect_list(F.struct("item_id", "item_hash", "item", "diagonals")).alias("met")))
+    joined = docs.join(meetings, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_hash") == F.col("dh"))).select("doc_id", "text", "met")
+    return joined.mapInArrow(_align_batches(least, passage), "doc_id long, item_id long, item_hash long, score double, n_seeds long, first_word long")
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, block_bytes: int = 8_000_000, passage: int = 50) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, first_word) of each document of docs(doc_id, text, ...) and item of
     benchmark(item_id, text, ...) whose best alignment reaches least of the item's own score or that of passage words.
 
     Words are split at white space with A-Z lower-cased. score is the share of the item's own score, n_seeds the seeds
     of the best place and first_word where its window begins. Null and empty texts and items align with nothing; null
     ids stay null; repeated rows and items each give their rows; equal places count by their seeds, then the earlier;
-    extra columns are ignored; without documents or items there are no rows.
+    extra columns are ignored; without documents or items there are no rows. Items go through in blocks of about
+    block_bytes, so that the bit table stays sparse.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("doc_hash"), text_or_empty().alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64(text_or_empty()).alias("item_hash"), text_or_empty().alias("item"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     out = None
     for b in range(blocks):
-        block = [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        items = Items(block, n)
-        if not items.grams:
-            continue
-        by_length = {m: Lookup([x for *_, x in g]) for m, g in items.grams.items()}
-        met = docs.mapInArrow(_occurring_batches(by_length), "gram long").distinct()
-        seeds = items.seeds({r.gram % (1 << 64) for r in met.collect()})  # benchmark n-grams of this block at most
-        if not seeds:
+        items = stash(rows.where(F.pmod(F.col("item_hash"), F.lit(blocks)) == b).groupBy("item_id", "item_hash", "item").agg(F.count("*").alias("copies")))
+        pairs = _block_pairs(docs, items.drop("copies"), least, passage)
+        if pairs is None:
             continue
-        pairs = docs.mapInArrow(_pair_batches(items, seeds, least, passage), OUT)
+        copies = items.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), "copies")
+        pairs = pairs.join(copies, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")))
+        pairs = pairs.select("doc_id", "item_id", "score", "n_seeds", "first_word", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
         out = pairs if out is None else out.union(pairs)
     return spark.createDataFrame([], OUT) if out is None else out

@@ -291,6 +291,57 @@ def test_contamination_by_passages_of_long_items(spark):
     assert {d for d, _ in got} == {1, 2, 4, 6}
 
 
+def test_contamination_against_all_pairs(docs, texts, spark, sf):
+    """Every pair of document and item is aligned, with no seeds at all."""
+    items = {r.item_id: r.text.lower().split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    number = defaultdict(lambda: len(number) + 10)
+    coded = lambda ws: np.array([number[w] for w in ws], np.uint64)
+    items = {i: coded(w) for i, w in items.items()}
+    want = set()
+    for d, t in texts.items():
+        h = coded(re.sub("[A-Z]", lambda m: m[0].lower(), t).split())
+        for s, (i, w) in zip(decontaminate._aligned(list(items.values()), [h] * len(items)), items.items(), strict=True):
+            if len(w) and s >= min(len(w), 100):
+                want.add((d, i))
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+@pytest.mark.parametrize("every", [3, 4, 5, 6])
+def test_contamination_of_regular_edits(spark, sf, every):
+    """Each item once, every n-th word replaced, or a word put in after every second one: no seed needs three words in a row."""
+    items = {r.item_id: r.text.split() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    rows, want = [], set()
+    for i, w in items.items():
+        changed = [x if (k + 1) % every else f"new{i}-{k}" for k, x in enumerate(w)]
+        longer = [y for k, x in enumerate(w) for y in ([x, f"put{i}-{k}"] if k % 2 else [x])]
+        for k, copy in enumerate((changed, longer)):
+            rows.append((2 * i + k, " ".join([f"a{i}", *copy, f"z{i}"])))
+            if plain_alignment([x.lower() for x in w], [x.lower() for x in copy]) >= min(len(w), 100):
+                want.add((2 * i + k, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(make(spark, rows), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert want <= got and len(want) >= len(items)
+
+
+def test_contamination_by_random_edits_of_few_words(spark):
+    """Few different words, short items, one and two words: the pairs are those of the plain alignment."""
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(40)}"
+    items = {i: [word() for _ in range(rnd.choice([1, 2, 3, 4, 6, 9, 14, 30]))] for i in range(40)}
+    rows = {}
+    for d in range(120):
+        base = list(rnd.choice(list(items.values())))
+        for _ in range(rnd.randrange(len(base) + 1)):
+            k = rnd.randrange(len(base) + 1)
+            base[k : k + rnd.randrange(2)] = [word()] * rnd.randrange(2)
+        rows[d] = [word() for _ in range(rnd.randrange(30))] + base + [word() for _ in range(rnd.randrange(30))]
+    want = {(d, i) for d, t in rows.items() for i, w in items.items() if plain_alignment(w, t) >= len(w)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(make(spark, [(d, " ".join(t)) for d, t in rows.items()]), bench.union(bench.limit(1))).collect()]
+    extra = [p for p in got if p[1] == min(i for i in items)]
+    assert set(got) == want and len(got) == len(want) + len(set(extra))
+
+
 # --- 5
 
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
