@@ -32,8 +32,14 @@ def canonical_url(url: Column) -> Column:
 
 
 def merge_headers(stored: Column, update: Column) -> Column:
-    """stored with the permitted fields of update; names compare and come out in lower case, sorted."""
-    low = lambda m: F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    """stored with the permitted fields of update; names compare and come out in lower case, sorted; of names that differ
+    in case alone the last entry counts."""
+
+    def low(m: Column) -> Column:
+        entries = F.reverse(F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+        names = F.transform(entries, lambda e: e["key"])
+        return F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
+
     allowed = F.filter(low(update), lambda e: ~e["key"].isin(KEPT_FIELDS))
     kept = F.filter(low(stored), lambda e: ~F.exists(allowed, lambda u: u["key"] == e["key"]))
     return F.map_from_entries(F.array_sort(F.array_distinct(F.concat(kept, allowed))))
@@ -64,13 +70,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     digest that both have differs (weak etags compare without W/); unchecked, if the two have no validator in common.
     Status, digest and headers are given if resolved or unchecked: the response's, headers merged.
 
-    Records with a null url or ts, or of another kind, have no place in a sequence: a revisit among them comes out
+    Records without a ts or a canonical url (null, or nothing but a scheme or fragment), or of another kind, have no place in a sequence: a revisit among them comes out
     as no_response, a response among them serves none. Repeated revisits each get their row; null headers count as
     empty; extra columns are ignored; no rows give no rows.
     """
     names = [c.split()[0] for c in RECORD.split(", ")]
     records = records.select(*names).withColumn("canonical_url", canonical_url(F.col("url"))).where(F.col("kind").isin("response", "revisit"))
-    placed = "canonical_url is not null and ts is not null"
+    placed = "coalesce(canonical_url, '') <> '' and ts is not null"
     lost = records.where(f"not ({placed}) and kind = 'revisit'").withColumn("last", F.lit(None).cast("struct<record_id:long,ts:long,status:int,etag:string,last_modified:string,digest:string,headers:map<string,string>>"))
     joined = _last_response(records.where(placed)).select(*names, "canonical_url", "last").unionByName(lost)
     strong = lambda c: F.regexp_replace(c, r"^W/", "")
