@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,31 +42,48 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?(?=[\s/>]|$)""", re.I)
 WORD = re.compile(r"[a-z]+")
+#: Names that say what an element has or lacks, not what it is.
+ABOUT = re.compile(r"(?:has|have|no|not|non|with|without)[-_]")
+#: Readers' words: an element so named goes however much of the page it holds.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Wrappers: unwanted elements that stay if most of the page's paragraphs lie in them. At most so many for a page; further ones go.
+MOST_WRAPPERS = 16
+PARAGRAPH_START = re.compile(r"<p(?=[\s>])", re.I)
 #: A solidus at the end of a tag that is part of an unquoted value.
 IN_VALUE = re.compile(r"=\s*[^\s\"']*/\Z")
 NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("children", "length", "links", "n_links", "parent", "points", "tag")
+    __slots__ = ("children", "depth", "length", "links", "n_links", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
         self.length = self.links = self.n_links = 0
+        self.depth = parent.depth + 1 if parent is not None else 0
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
-        return True
+GOES, MAY_WRAP = 1, 2
+
+
+def _unwanted(tag: str, attrs: str) -> int:
+    """GOES; MAY_WRAP, if only a name says so or it is a form, which may be wrapped round a page's text; else 0."""
+    if tag in DROPPED and tag not in ("form", "fieldset"):
+        return GOES
+    out = MAY_WRAP if tag in DROPPED else 0
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return out
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and NO_DISPLAY.search(value)) or (name == "role" and value in ROLES):
-            return True
-        if name in ("class", "id") and not NAMES.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+            return GOES
+        if name in ("class", "id"):
+            said = {w for token in value.split() if not ABOUT.match(token) for w in WORD.findall(token)}
+            if not READERS.isdisjoint(said):
+                return GOES
+            if not NAMES.isdisjoint(said):
+                out = MAY_WRAP
+    return out
 
 
 def _closes(tag: str, attrs: str) -> bool:
@@ -96,28 +114,82 @@ def _markup_ends(page: str, pos: int) -> dict[int, int]:
     return out
 
 
+class Tree:
+    """A tree being built: where the next node goes, and the open elements of each tag, so that an end tag costs no search."""
+
+    def __init__(self):
+        self.root = self.at = Node("html", None)
+        self.open: dict[str, list[Node]] = {}
+
+    def add(self, child: str | Node) -> None:
+        self.at.children.append(child)
+
+    def enter(self, tag: str) -> None:
+        self.at = Node(tag, self.at)
+        self.at.parent.children.append(self.at)
+        self.open.setdefault(tag, []).append(self.at)
+
+    def _nearest(self, tags: set[str]) -> Node | None:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), key=lambda n: n.depth, default=None)
+
+    def leave(self, tags: set[str], bounds: set[str]) -> None:
+        """Close the nearest open element of tags and all within it, if no bound is nearer."""
+        node, bound = self._nearest(tags), self._nearest(bounds)
+        if node is None or (bound is not None and bound.depth > node.depth):
+            return
+        while self.at.depth >= node.depth:
+            self.open[self.at.tag].pop()
+            self.at = self.at.parent
+
+
 def parse(page: str) -> Node:
     """The tree of what may be main text; unwanted elements leave no node."""
-    root = at = Node("html", None)
+    tree = Tree()
     skipping: list[str] = []  # open elements within an unwanted one, itself first
+    wrapper: tuple[int, str] | None = None  # where to go on, and its tag, if the unwanted element proves to hold most of the page
+    wrappers = 0
+    paragraphs: list[int] | None = None
     ends: dict[int, int] | None = None
+    unclosed: set[str] = set()  # an end tag that was not found once is not there later
     pos, end = 0, len(page)
-    while pos < end:
+
+    def holds_most(first: int, last: int) -> bool:
+        nonlocal paragraphs
+        if paragraphs is None:
+            paragraphs = [m.start() for m in PARAGRAPH_START.finditer(page)]
+        return 2 * (bisect_left(paragraphs, last) - bisect_left(paragraphs, first)) > len(paragraphs)
+
+    def skipped(upto: int) -> int:
+        """End the unwanted element; go back into it if it is a wrapper, else on from upto."""
+        nonlocal wrapper, wrappers
+        skipping.clear()
+        held, wrapper = wrapper, None
+        if held is None or not holds_most(held[0], upto):
+            return upto
+        wrappers += 1
+        tree.at.children.pop()  # the mark that it left
+        tree.enter(held[1])
+        return held[0]
+
+    while pos < end or skipping:
         m = TOKEN.search(page, pos)
         stop = m.start() if m else end
         if stop > pos and not skipping:
-            at.children.append(page[pos:stop])
+            tree.add(page[pos:stop])
         if not m:
-            break
+            pos = end
+            if not skipping or (pos := skipped(end)) == end:
+                break
+            continue
         pos = m.end()
         if m["cdata"] is not None:
             if not skipping:
-                at.children.append(html.escape(m["cdata"]))
+                tree.add(html.escape(m["cdata"]))
         elif m["tag"]:
             tag, attrs = m["tag"].lower(), m["attrs"] or ""
             if tag in VOID:
                 if not skipping:
-                    at.children.append(" " if tag == "br" else Node(tag, at))
+                    tree.add(" " if tag == "br" else Node(tag, tree.at))
                 continue
             if tag in MARKUP:
                 if not _closes(tag, attrs):
@@ -125,55 +197,53 @@ def parse(page: str) -> Node:
                         ends = _markup_ends(page, m.start())
                     pos = ends.get(m.start(), pos)
                 if pos > m.end() and not skipping:
-                    at.children.append(Node("wbr", at))
+                    tree.add(Node("wbr", tree.at))
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                close = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                if close is None:
+                    unclosed.add(tag)
                 pos = close.end() if close else (pos if tag in ("head", "object", "select") else end)
                 if close and not skipping:
-                    at.children.append(Node("wbr", at))
+                    tree.add(Node("wbr", tree.at))
                 continue
             if skipping:
-                if tag == skipping[0]:
+                if tag == skipping[0] or tag in ("article", "main"):
                     skipping.append(tag)
                 continue
-            if tag in BLOCK:
-                at = _leave(at, {"p"}, {"article", "section", "div", "td", "th", "li", "blockquote", "body"}) if tag not in ("html", "body") else at
+            if tag in BLOCK and tag not in ("html", "body"):
+                tree.leave({"p"}, {"article", "section", "div", "td", "th", "li", "blockquote", "body"})
             if tag in ENDS:
-                at = _leave(at, *ENDS[tag])
-            if _unwanted(tag, attrs):
+                tree.leave(*ENDS[tag])
+            goes = _unwanted(tag, attrs)
+            if goes:
+                tree.add(Node("hr", tree.at))
                 if not attrs.rstrip().endswith("/"):
                     skipping.append(tag)
-                at.children.append(Node("hr", at))
+                    wrapper = (pos, tag) if goes == MAY_WRAP and wrappers < MOST_WRAPPERS else None
                 continue
-            if tag in ("html", "body"):
-                continue
-            node = Node(tag, at)
-            at.children.append(node)
-            at = node
+            if tag not in ("html", "body"):
+                tree.enter(tag)
         elif m["end"]:
             tag = m["end"].lower()
             if skipping:
-                if tag == skipping[0]:
+                if tag == skipping[-1]:
                     skipping.pop()
-                elif tag in ("body", "html", "article", "main"):
-                    skipping.clear()  # the unwanted element was never closed
-                    at = _leave(at, {tag}, set())
+                    if not skipping:
+                        pos = skipped(pos)
+                elif tag in skipping[:1] and len(skipping) > 1:  # closes over articles that were left open
+                    while skipping and skipping.pop() != tag:
+                        pass
+                    if not skipping:
+                        pos = skipped(pos)
+                elif tag in ("body", "html", "article", "main"):  # the unwanted element was never closed
+                    before = pos
+                    pos = skipped(pos)
+                    if pos == before:
+                        tree.leave({tag}, set())
                 continue
-            at = _leave(at, {tag}, {"td", "th", "table"} if tag not in BLOCK else set())
-    return root
-
-
-def _leave(at: Node, tags: set[str], bounds: set[str]) -> Node:
-    """The parent of the nearest open element of tags, if no bound is nearer; else where it was."""
-    x: Node | None = at
-    while x is not None and x.parent is not None:
-        if x.tag in tags:
-            return x.parent
-        if x.tag in bounds:
-            return at
-        x = x.parent
-    return at
+            tree.leave({tag}, {"td", "th", "table"} if tag not in BLOCK else set())
+    return tree.root
 
 
 def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
@@ -290,6 +360,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html, or a page without main text, gives an empty text and 0; ids and URLs stay as they are, null or
     not; repeated rows each get their row; extra columns are ignored; no rows give no rows. Nothing is cut from long pages.
     What follows an svg, math, video, audio, canvas, template or noscript that is never closed counts as text of the page.
+    A form, or an element that only its name marks as unwanted, stays if most of the page's paragraphs lie in it.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
