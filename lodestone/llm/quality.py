@@ -5,7 +5,7 @@ bounded sample of labelled documents; everything else covers all rows. Grouped a
 host and every path below it a mean quality, shrunk towards the level above: a path towards its host, a host
 towards the global mean. How far follows from the corpus: the prior weight of each level comes from the variance
 between its sites by the method of moments, so sparse sites stay near their prior. A document's score joins its
-own evidence with what its path says beyond the global prior, the document itself left out of its path's mean.
+own evidence with what its path says beyond the global prior, the document itself left out at every level.
 """
 
 from __future__ import annotations
@@ -109,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Logis
     the least hashes of doc_id. With one class only, there is no model and the share alone speaks; without labels it is 1."""
     wanted = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     wanted = wanted.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", "text")  # at most `sample` rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")  # at most `sample` ids
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text of each
     got = rows.mapInArrow(_feature_batches, "quality int, x array<double>").toPandas()
     if got.empty:
         return None, 1.0
@@ -135,7 +136,8 @@ def _prior_weight(sites: DataFrame, n: str, total: str, prior: Column) -> float:
 def score(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column = "lang", sample: int = 20_000, keep_from: float = 0.5) -> DataFrame:
     """Per row of docs(doc_id, text, ...): doc_id, p_document, host_mean, path_mean, p_quality, keep.
 
-    host names the site and path the part of it (here source and lang); a null is a site of its own, as an empty name is.
+    host_mean is the posterior of the whole host; path_mean that of the document's path from all other documents, and
+    p_quality joins it with the document's own evidence. host names the site and path the part of it (here source and lang); a null is a site of its own, as an empty name is.
     Null and empty texts are judged by their (empty) features. A doc_id that is null or has no label is judged as any
     other; one with several labels counts with the lowest. Repeated rows each get their row and count in their site;
     extra columns are ignored; no rows give no rows. keep is p_quality >= keep_from.
@@ -155,9 +157,12 @@ def score(docs: DataFrame, labels: DataFrame, host: str | Column = "source", pat
     sites = paths.join(hosts, "host")
     w_path = _prior_weight(sites, "n", "total", F.col("host_mean"))
     out = scored.join(sites, ["host", "path"])
-    others = (F.col("total") - F.col("p_document") + w_path * F.col("host_mean")) / (F.col("n") - 1 + w_path)
+    own = F.col("p_document")
+    rest = F.lit(share) if whole.n == 1 else (whole.total - own) / (whole.n - 1)
+    on_host = (F.col("host_total") - own + w_host * rest) / (F.col("host_n") - 1 + w_host)
+    others = (F.col("total") - own + w_path * on_host) / (F.col("n") - 1 + w_path)
     logit = lambda p: F.log(p / (1 - p))
     clip = lambda p: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
-    z = logit(clip(F.col("p_document"))) + logit(clip(F.col("path_mean"))) - float(np.log(mean / (1 - mean)))
+    z = logit(clip(own)) + logit(clip(F.col("path_mean"))) - float(np.log(mean / (1 - mean)))
     out = out.withColumn("path_mean", others).withColumn("p_quality", 1 / (1 + F.exp(-z)))
     return out.select("doc_id", "p_document", "host_mean", "path_mean", "p_quality", (F.col("p_quality") >= keep_from).alias("keep"))
