@@ -74,11 +74,13 @@ def _linked(parts: DataFrame, scope: int) -> DataFrame:
     side = F.when(F.col("kind").isin("access", "user"), "id").when(F.col("kind").isin("assign", "key"), "secret")
     at = (F.col("start") / scope).cast("long")
     other = parts.withColumn("side", side).where("side is not null").select(*(F.col(k).alias(f"o_{k}") for k in KEY), at.alias("o_bucket"), "side", F.col("start").alias("o_start"))
-    cover = parts.where(F.col("kind").isin(BASE)).select(*(F.col(k).alias(f"c_{k}") for k in KEY), F.col("start").alias("c_start"), F.col("end").alias("c_end"))
+    reach = F.explode(F.sequence(at, ((F.col("end") - 1) / scope).cast("long")))  # spans that overlap share a bucket
+    cover = parts.where(F.col("kind").isin(BASE)).select(*(F.col(k).alias(f"c_{k}") for k in KEY), reach.alias("c_bucket"), F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     weak = parts.where(~F.col("kind").isin(BASE))
     same = lambda p: (F.col("text_hash") == F.col(f"{p}_text_hash")) & F.col("doc_id").eqNullSafe(F.col(f"{p}_doc_id"))
-    inside = same("c") & (F.col("start") < F.col("c_end")) & (F.col("end") > F.col("c_start"))
-    weak = weak.join(cover, inside, "left_anti")
+    inside = same("c") & (F.col("bucket") == F.col("c_bucket")) & (F.col("start") < F.col("c_end")) & (F.col("end") > F.col("c_start"))
+    covered = weak.withColumn("bucket", reach).join(cover, inside, "left_semi").select(*(F.col(k).alias(f"v_{k}") for k in KEY), F.col("rank").alias("v_rank"), F.col("start").alias("v_start"))
+    weak = weak.join(covered, same("v") & (F.col("rank") == F.col("v_rank")) & (F.col("start") == F.col("v_start")), "left_anti")
     near = weak.withColumn("bucket", F.explode(F.array(at - 1, at, at + 1))).join(other, same("o") & (F.col("bucket") == F.col("o_bucket")) & (F.abs(F.col("start") - F.col("o_start")) <= scope))
     near = near.groupBy(*KEY, "rank", "kind", "start", "end").agg(F.max((F.col("side") == "id").cast("int")).alias("with_id"), F.max((F.col("side") == "secret").cast("int")).alias("with_secret"))
     ok = F.when(F.col("kind") == "key", F.col("with_id") == 1).when(F.col("kind") == "user", F.col("with_secret") == 1).otherwise((F.col("with_id") == 1) & (F.col("with_secret") == 1))
