@@ -185,36 +185,56 @@ def _walk(rows: int = 400, chars: int = 2_000_000):
     return run
 
 
-def fingerprint(docs: DataFrame, rows_per_bucket: int = 1000, most_buckets: int = 20_000) -> DataFrame:
+def fingerprint(docs: DataFrame, rows_per_bucket: int = 1000, most_buckets: int = 20_000, partition_bytes: int = 32_000_000) -> DataFrame:
     """Per row of docs(doc_id, text, ...): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last third replaced by the start of the next document's, in descending doc_id
     with the first after the last. A null text counts as empty; two empty texts have likeness 1; a null doc_id comes after
-    all others and stays null; rows with the same doc_id follow each other by text; a single row is its own next;
-    extra columns are ignored; no rows give no rows.
+    all others and stays null; rows with the same doc_id follow each other by a hash of the text, then the text; a single
+    row is its own next; extra columns are ignored; no rows give no rows.
 
-    Rows are dealt by ranges of doc_id, so that neighbours meet without a global sort. What the driver holds is
-    the ranges' bounds and first ids, at most most_buckets of each; tasks stream through their rows.
+    Rows are dealt by ranges of doc_id, so that neighbours meet without a global sort; an id with more rows than a
+    bucket should have (as all rows without one) is split by ranges of the hash. What the driver holds is the ranges'
+    bounds and first rows' ids and hashes, at most about most_buckets of each; tasks stream through their rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("ord", F.coalesce("doc_id", F.lit(-(2**63))))
-    n = docs.count()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    docs = docs.withColumns({"ord": F.coalesce("doc_id", F.lit(-(2**63))), "tie": F.shiftrightunsigned(F.xxhash64("text"), 32)})
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
     parts = max(1, min(most_buckets, -(-n // rows_per_bucket)))
     at = [k / parts for k in range(1, parts)]
     bounds = np.array(sorted(set(docs.agg(F.percentile_approx("ord", at, max(10_000, 20 * parts))).first()[0] or [])) if at else [], np.int64)
+    crowd = max(rows_per_bucket, n // most_buckets)
+    split = {r.ord: -(-r["count"] // crowd) for r in docs.groupBy("ord").count().where(F.col("count") > crowd).collect()}
+    crowded = np.array(sorted(split), np.int64)
+    shares = np.array([split[x] for x in crowded.tolist()], np.int64)
+
+    def bucket_numbers(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """Ranges of ids, those of a crowded id and of its hashes apart; greater numbers come first in the order."""
+        own = np.searchsorted(bounds, ids, side="left").astype(np.int64) + np.searchsorted(crowded, ids, side="left") + np.searchsorted(crowded, ids, side="right")
+        sub = np.zeros(len(ids), np.int64)
+        if len(crowded):
+            k = np.minimum(np.searchsorted(crowded, ids), len(crowded) - 1)
+            hit = crowded[k] == ids
+            sub[hit] = shares[k[hit]] - 1 - (ties[hit] * shares[k[hit]] >> 32)
+        return own << 32 | sub
 
     @F.pandas_udf("long")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="left"))
+    def bucket_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(bucket_numbers(ids.to_numpy(), ties.to_numpy()))
 
-    heads = docs.select("ord", bucket_of("ord").alias("bucket")).groupBy("bucket").agg(F.max("ord").alias("head")).orderBy("bucket").collect()
-    above = {h["head"]: heads[(k + 1) % len(heads)]["bucket"] for k, h in enumerate(heads)}
+    first = F.max(F.struct("ord", -F.col("tie"))).alias("head")
+    heads = docs.select("ord", "tie", bucket_of("ord", "tie").alias("bucket")).groupBy("bucket").agg(first).orderBy("bucket").collect()
+    above = {(h["head"][0], -h["head"][1]): heads[(k + 1) % len(heads)]["bucket"] for k, h in enumerate(heads)}
 
     @F.pandas_udf("array<long>")
-    def places(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(bounds, ids.to_numpy(), side="left").tolist()
-        return pd.Series([[b, above[i]] if i in above else [b] for b, i in zip(own, ids.tolist(), strict=True)])
-
-    dealt = docs.select("ord", "doc_id", "text", F.posexplode(places("ord")).alias("ctx", "bucket"))
-    dealt = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket", "ctx", F.desc("ord"), "text")
-    return dealt.select("bucket", "ctx", "doc_id", "text").mapInArrow(_walk(), SCHEMA) if n else spark.createDataFrame([], SCHEMA)
+    def places(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        own = bucket_numbers(ids.to_numpy(), ties.to_numpy()).tolist()
+        return pd.Series([[b, above[x]] if x in above else [b] for b, x in zip(own, zip(ids.tolist(), ties.tolist(), strict=True), strict=True)])
+
+    dealt = docs.select("ord", "tie", "doc_id", "text", F.posexplode(places("ord", "tie")).alias("ctx", "bucket"))
+    partitions = max(spark.sparkContext.defaultParallelism, -(-size // partition_bytes))
+    dealt = dealt.repartition(partitions, F.col("bucket")).sortWithinPartitions("bucket", "ctx", F.desc("ord"), "tie", "text")
+    return dealt.select("bucket", "ctx", "doc_id", "text").mapInArrow(_walk(), SCHEMA)
