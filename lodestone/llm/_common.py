@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where none is named."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where none is named, one of its own on local masters only."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lodestone-ckpt-")
+        if current.isDefined():
+            named = current.get()
+        elif sc.master == "local" or sc.master.startswith("local["):
+            named = tempfile.mkdtemp(prefix="lodestone-ckpt-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
@@ -35,13 +40,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stash(df: DataFrame) -> DataFrame:
     """Write df once as Parquet in the shared checkpoint folder and read it back.
 
-    This cuts lineage and survives the loss of any executor. The files go when the driver ends.
+    This cuts lineage and survives the loss of any executor. The files go with `release` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a stash that nothing reads any more."""
+    _remove(df.sparkSession, df.stashed_at)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

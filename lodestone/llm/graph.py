@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import stash
+from lodestone.llm._common import release, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if seen[0] == 0:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        edges = stash(_star(_star(edges, True).distinct(), False).distinct())
+        before, edges = edges, stash(_star(_star(edges, True).distinct(), False).distinct())
+        release(before)
         now = _fingerprint(edges)
         if now == seen:
             break

@@ -7,7 +7,7 @@ with concentration like that of independent samples. t = 512 coordinates in 64 b
 with a probability below 2e-9. Every link is confirmed on the full shingle sets.
 
 Equal sets are one class from the start. Classes that share a band meet in candidate clusters. A cluster up to
-`group_limit` classes is verified in one task, with union-find so that no more comparisons are made than the
+`group_limit` classes and `shingles` shingles is verified in one task, with union-find so that no more comparisons are made than the
 components need. A larger one is never gathered: its members are compared with its least member in salted
 blocks, and the triangle inequality of the Jaccard distance leaves for block-wise comparison only members that
 are not linked to it and those that could link to one of these. Links are exact in all paths; nothing is capped.
@@ -177,19 +177,23 @@ def _verify_blocks(percent: int):
     return run
 
 
-def _large_links(sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _blocks(block: int, shingles: int):
+    """How many blocks of about `block` rows and `shingles` shingles at most the grouped sets make."""
+    return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("shingles")) / (8 * shingles))).cast("int")
+
+
+def _large_links(sets: DataFrame, percent: int, block: int, shingles: int) -> DataFrame:
     """Links within clusters too large for one task; see the module's text."""
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    sizes = sets.groupBy("cluster").agg(F.min("doc_id").alias("lead"), _blocks(block, shingles).alias("blocks"))
     dealt = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     lead = dealt.where("doc_id = lead").select("doc_id", "cluster", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_lead"))
     members = dealt.where("doc_id <> lead").select("doc_id", "cluster", "shingles", "block", F.lit(False).alias("is_lead"))
     held = stash(members.union(lead).groupBy("cluster", "block").applyInArrow(_against_leader(percent), "doc_id long, cluster long, lead long, linked boolean, distance double, shingles binary"))
     links = held.where("linked").select(F.col("lead").alias("u"), F.col("doc_id").alias("v"))
     reach = 1 - percent / 100 + 1e-9
-    out = held.where("not linked").groupBy("cluster").agg(F.min("distance").alias("least"), F.count("*").alias("open"))
+    out = held.where("not linked").groupBy("cluster").agg(F.min("distance").alias("least"), _blocks(block, shingles).alias("qb"))
     near = held.join(out, "cluster").where(F.expr(f"not linked or distance >= least - {reach}"))
-    n_near = near.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("tb"))
-    near = near.join(n_near, "cluster").withColumn("qb", F.ceil(F.col("open") / block).cast("int"))
+    near = near.join(near.groupBy("cluster").agg(_blocks(block, shingles).alias("tb")), "cluster")
     at = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col(n)).cast("int")
     as_query = near.where("not linked").select("cluster", at("qb").alias("a"), F.explode(F.sequence(F.lit(0), F.col("tb") - 1)).alias("b"), F.lit(True).alias("query"), "doc_id", "shingles")
     as_target = near.select("cluster", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("a"), at("tb").alias("b"), F.lit(False).alias("query"), "doc_id", "shingles")
@@ -197,7 +201,7 @@ def _large_links(sets: DataFrame, percent: int, block: int) -> DataFrame:
     return links.union(more)
 
 
-def near_components(docs: DataFrame, percent: int = 85, words: int = 5, t: int = 512, bands: int = 64, group_limit: int = 1000, block: int = 500) -> DataFrame:
+def near_components(docs: DataFrame, percent: int = 85, words: int = 5, t: int = 512, bands: int = 64, group_limit: int = 1000, block: int = 500, shingles: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text, ...).
 
     Rows with 100 * |intersection| >= percent * |union| of their word shingle sets are linked; component_id is
@@ -215,15 +219,16 @@ def near_components(docs: DataFrame, percent: int = 85, words: int = 5, t: int =
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
     edges = keys.join(shared, "key").where("doc_id <> lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v"))
     clusters = stash(components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    weights = base.select("doc_id", "n_shingles").join(clusters, "doc_id")
+    sizes = weights.groupBy("cluster").agg(((F.count("*") > group_limit) | (F.sum("n_shingles") > shingles)).alias("large"))
     rows = docs.join(clusters, "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "cluster", "text")
     sets = rows.mapInArrow(_set_batches(words), "doc_id long, cluster long, shingles binary")
-    if sizes.where(F.col("n") > group_limit).isEmpty():
+    if sizes.where("large").isEmpty():
         links = sets.groupBy("cluster").applyInArrow(_verify_group(percent), "u long, v long")
     else:
-        sets = stash(sets.join(sizes.withColumn("large", F.col("n") > group_limit).drop("n"), "cluster"))
+        sets = stash(sets.join(sizes, "cluster"))
         small = sets.where("not large").drop("large").groupBy("cluster").applyInArrow(_verify_group(percent), "u long, v long")
-        links = small.union(_large_links(sets.where("large").drop("large"), percent, block))
+        links = small.union(_large_links(sets.where("large").drop("large"), percent, block, shingles))
     found = components(links.union(full.join(classes, ["d1", "d2"]).where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))))
     out = base.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
