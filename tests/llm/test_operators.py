@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import decontaminate, fingerprints, html_text, near_dedup, packing, quality, secrets, suffix_dedup, url_filter, warc
+from lodestone.llm.graph import components
 from lodestone.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,6 +91,54 @@ def test_near_components_awkward(spark):
     assert near_dedup.near_components(make(spark, [])).count() == 0
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_texts_that_polynomials_confuse(spark):
+    a, b = thue_morse(11)
+    rows = [(1, a), (2, b), (3, f"{a} x y z w"), (4, f"{b} x y z w"), (5, a.upper())]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_components(make(spark, rows)).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    got = {r.doc_id: r for r in fingerprints.fingerprint(make(spark, rows[:2])).collect()}
+    assert got[1].fingerprint != got[2].fingerprint and got[1].near_next == 0.0
+    assert repeats(make(spark, rows[:2])) == plain_repeats(rows[:2])
+
+
+def test_near_components_of_long_texts_in_blocks(spark):
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(900)]
+    rows = []
+    for i in range(12):
+        w = list(base)
+        for _ in range(i * 4):
+            w[rnd.randrange(len(w))] = f"z{i}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_components(make(spark, rows), shingles=2000).collect()}
+    assert got == plain_components(rows)
+
+
+def test_components_against_plain(spark):
+    rnd = random.Random(13)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (None, 3), (4, None)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u is not None and v is not None and u != v:
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root}
+
+
 # --- 2
 
 
@@ -213,6 +263,14 @@ def test_repeats_awkward(spark):
     assert suffix_dedup.remove_repeats(make(spark, [])).count() == 0
 
 
+def test_repeats_of_many_rows_without_id(spark):
+    rnd = random.Random(8)
+    texts_ = [" ".join(f"{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(12)]
+    rows = [(None, texts_[k % 12]) for k in range(60)] + [(7, texts_[3] + texts_[4]), (7, texts_[4])]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert repeats(make(spark, rows)) == {i: sorted(x) for i, x in plain_repeats(order).items()}
+
+
 # --- 4
 
 
@@ -384,6 +442,32 @@ def test_main_text_after_unclosed_elements(tag):
     assert html_text.main_text(f"<p>{first}</p>" + f"<{tag}>" * 20_000 + f"<p>{second}</p>") == f"{first}\n{second}"
 
 
+@pytest.mark.parametrize("wrap", ['<div class="content has-sidebar">{}</div>', '<div class="no-header">{}</div>', "<form action=x>{}</form>", '<form><div id="widget">{}</div></form>', '<div class="content-with-sidebar">{}', '<div class="page hidden-menu">{}</div>'])
+def test_main_text_in_wrappers(wrap):
+    first, second = (f"{x}, with words, and commas, of a good length to score." for x in ("First", "Second"))
+    inner = f'<nav><p>Home, and, away</p></nav><article><p>{first}</p><p>{second}</p></article><div class="sidebar-left"><p>Other things</p></div>'
+    assert html_text.main_text(f"<body>{wrap.format(inner)}<footer><p>end</p></footer></body>") == f"{first}\n{second}"
+
+
+def test_readers_comments_go_even_if_they_are_most(spark):
+    article = "A short article, of one paragraph, that many readers comment on."
+    page = f'<body><div><article><p>{article}</p></article><div class="post-comments">' + "<p>I think so too, really, and more, of that, please.</p>" * 30 + "</div></div></body>"
+    assert html_text.main_text(page) == article
+
+
+def test_articles_in_unwanted_elements_go_with_them():
+    article = "The article, of one paragraph, that is the text of the page, and of a good length."
+    for box in ("<div class=related-stories><article><p>{0}</p></article><article><p>{0}</p></article></div>", "<aside><article><p>{0}</p></aside>"):
+        assert html_text.main_text(f"<body><article><p>{article}</p><p>{article}</p></article>{box.format('Other story, and more, of this.')}<p>x</p></body>") == f"{article}\n{article}"
+
+
+@pytest.mark.parametrize("page", ["<object>" * 40_000, "<select>" * 40_000, "<p>a" + "<b>x</i>" * 40_000, "<i><table>" + "<b>" * 20_000 + "</i>" * 20_000, '<div class="ad">' * 20_000, "<form>" * 20_000 + "<p>a</p>" * 200 + "</form>" * 20_000, "<li>" * 30_000])
+def test_main_text_takes_no_square_time(page):
+    began = time.time()
+    html_text.main_text("<body>" + page)
+    assert time.time() - began < 4
+
+
 # --- 6
 
 
@@ -411,6 +495,56 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def plain_quality(rows, share):
+    """p_quality of rows (host, path, p) by the formulas, each document left out at every level."""
+    sites, hosts = defaultdict(list), defaultdict(list)
+    for h, q, p in rows:
+        sites[h, q].append(p)
+        hosts[h].append(p)
+    n, total = len(rows), sum(p for *_, p in rows)
+    mean = min(max(total / n, 1e-4), 1 - 1e-4)
+
+    def weight(groups):  # [(sum, size, prior)]
+        g = [(t, k, m) for t, k, m in groups if k > 1]
+        inner = sum(k * m * (1 - m) for _, k, m in g)
+        if len(g) < 2 or not inner:
+            return 100.0
+        size = sum(k for _, k, _ in g)
+        inner /= size
+        between = (sum(k * (t / k - m) ** 2 for t, k, m in g) / size - inner * len(g) / size) / max(1 - len(g) / size, 1e-9)
+        return min(max(inner / max(between, 1e-9) - 1, 1.0), 1e5)
+
+    w_host = weight([(sum(x), len(x), mean) for x in hosts.values()])
+    of_host = {h: (sum(x) + w_host * mean) / (len(x) + w_host) for h, x in hosts.items()}
+    w_path = weight([(sum(x), len(x), of_host[h]) for (h, _), x in sites.items()])
+    clip = lambda p: min(max(p, 1e-6), 1 - 1e-6)
+    logit = lambda p: np.log(p / (1 - p))
+    out = []
+    for h, q, p in rows:
+        rest = (total - p) / (n - 1) if n > 1 else share
+        on_host = (sum(hosts[h]) - p + w_host * rest) / (len(hosts[h]) - 1 + w_host)
+        others = (sum(sites[h, q]) - p + w_path * on_host) / (len(sites[h, q]) - 1 + w_path)
+        out.append(1 / (1 + np.exp(-(logit(clip(p)) + logit(clip(others)) - np.log(mean / (1 - mean))))))
+    return out
+
+
+def test_quality_against_formulas(spark, sf, docs):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for table in (docs, docs.limit(1)):
+        got = table.select("doc_id", "source", "lang").join(quality.score(table, labels), "doc_id").collect()
+        want = plain_quality([(r.source or "", r.lang or "", r.p_document) for r in got], 1.0)
+        if len(got) > 1:
+            assert np.allclose([r.p_quality for r in got], want, atol=1e-9)
+    assert len(got) == 1
+
+
+def test_fit_holds_one_text_of_each_id(spark):
+    rows = [(1, f"calm words of text {i}") for i in range(300)] + [(2, "BUY!! NOW!! $$$")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model, share = quality.fit(make(spark, rows), labels)
+    assert share == 0.5 and model is not None
+
+
 # --- 7
 
 
@@ -557,6 +691,46 @@ def test_url_filter_learns_and_survives(spark):
     assert url_filter.judge(empty).count() == 0
 
 
+def plain_witten_bell(texts_, order):
+    """log-likelihood by the recursive definition, from n-gram lists."""
+    grams = Counter(("\x02" * order + t)[i - k : i + 1] for t in texts_ for i in range(order, len(t) + order) for k in range(order + 1))
+    after = defaultdict(dict)
+    for g, n in grams.items():
+        after[g[:-1]][g[-1]] = n
+
+    def p(context, c):
+        lower = p(context[1:], c) if context else 1 / 256
+        if context not in after:
+            return lower
+        x = after[context]
+        return (x.get(c, 0) + len(x) * lower) / (sum(x.values()) + len(x))
+
+    return lambda t: sum(np.log(p(("\x02" * order + t)[i : i + order], t[i])) for i in range(len(t)))
+
+
+def test_url_ratio_against_definition(spark):
+    rnd = random.Random(12)
+    rows = [(i, f"http://news{rnd.randrange(99)}.com/story/{rnd.randrange(999)}?a={i}") for i in range(40)] + [(100 + i, f"http://pills{rnd.randrange(99)}.net/es/cheap/{rnd.randrange(999)}#b{i}") for i in range(40)]
+    rows += [(200 + i, f"ftp://x{i}.org/{'story' if i % 2 else 'cheap'}/{rnd.randrange(999)}?q={i}") for i in range(20)] + [(300, "no scheme at all"), (301, None), (302, "http://u.org/" + "story/" * 300)]
+    by = dict(rows)
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    key = {u: h for u, h in spark.createDataFrame(rows, "page_id long, url string").selectExpr("url", "xxhash64(url)").collect() if u}
+    sides = []
+    for verdict in ("allow", "block"):
+        urls = sorted({by[i] for i, r in got.items() if r.rule and r.verdict == verdict}, key=lambda u: (key[u], u))
+        sides.append((urls, plain_witten_bell([u for i, u in enumerate(urls) if i % 4], 5)))
+    ratio = lambda u: (sides[0][1](u) - sides[1][1](u)) / max(len(u), 1)
+    free = {i: r for i, r in got.items() if r.rule is None}
+    assert len(free) == 23
+    for i, r in free.items():
+        assert abs(r.score - ratio(by[i] or "")) < 1e-9
+    held = [(ratio(u), side == 0) for side, (urls, _) in enumerate(sides) for i, u in enumerate(urls) if i % 4 == 0]
+    error = lambda cut: np.mean([s < cut for s, good in held if good]) + np.mean([s >= cut for s, good in held if not good])
+    least = min(error(c) for c in [s for s, _ in held])
+    cut = max((r.score for r in free.values() if r.verdict == "block"), default=-9), min((r.score for r in free.values() if r.verdict == "allow"), default=9)
+    assert cut[0] < cut[1] and error(cut[1]) <= least + 0.35  # one cut parts the verdicts, and it is a good one
+
+
 def test_char_model_is_a_distribution():
     m = url_filter.CharModel(3)
     m.add("abab")
@@ -602,6 +776,18 @@ def test_fingerprints_awkward(spark):
     assert fingerprints.fingerprint(make(spark, [])).count() == 0
 
 
+def test_fingerprints_of_many_rows_without_id(spark):
+    rows = [(None, f"text number {i} of those without an id, and a few words more") for i in range(50)] + [(5, f"five {i}") for i in range(9)] + [(9, "nine")]
+    got = fingerprints.fingerprint(make(spark, rows), rows_per_bucket=4).collect()
+    key = {t: h & 0xFFFFFFFFFFFFFFFF for t, h in make(spark, rows).selectExpr("text", "xxhash64(text)").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), key[r[1]] >> 32, r[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        edited = fingerprints.edited_text(t, order[(k + 1) % len(order)][1])
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+
+
 def test_peeling_recovers_differences():
     rnd = np.random.default_rng(3)
     a = [rnd.integers(0, 2**63, n).astype(np.uint64) for n in (0, 1, 5, 400)]
@@ -630,6 +816,15 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], warc.RECORD)).count() == 0
 
 
+def test_revisits_with_names_that_differ_in_case(spark):
+    row = lambda i, ts, url, kind, headers: (i, ts, url, kind, 200, "e", None, None, headers)
+    rows = [row(1, 1, "http://a.com/", "response", {"Age": "0", "age": "1", "Etag": "e", "Content-Type": "t"}), row(2, 2, "http://a.com/", "revisit", {"Age": "5", "AGE": "7", "Content-TYPE": "x", "content-type": "y"})]
+    rows += [row(3, 1, "http://#x", "response", {}), row(4, 2, "#y", "revisit", {}), row(5, 3, "", "revisit", {}), row(6, 3, "http://a.com/" + "p/" * 5000, "revisit", {"x": "y" * 50_000})]
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    assert got[2].headers == {"age": "7", "content-type": "t", "etag": "e"}
+    assert [got[i].outcome for i in (4, 5, 6)] == ["no_response"] * 3
+
+
 def test_revisits_match_sql(spark):
     import duckdb
 
