@@ -44,7 +44,7 @@ def plain_sets(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def plain_components(items):
+def plain_components(items, percent=85):
     sets = {i: plain_sets(t) for i, t in items}
     root = {i: i for i in sets}
 
@@ -55,7 +55,7 @@ def plain_components(items):
 
     for a, b in itertools.combinations(sorted(sets), 2):
         x, y = sets[a], sets[b]
-        if x and y and 100 * len(x & y) >= 85 * len(x | y):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
             ra, rb = find(a), find(b)
             root[max(ra, rb)] = min(ra, rb)
     return {i: (len(sets[i]), find(i)) for i in sets}

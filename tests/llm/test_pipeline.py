@@ -35,7 +35,15 @@ def test_quality(spark, sf, stages):
 
 def test_near_duplicates(stages):
     before = texts(stages[1])
-    assert set(texts(stages[2])) == {c for _, c in plain_components(before.items()).values()}
+    assert set(texts(stages[2])) == {c for _, c in plain_components(before.items(), 80).values()}
+
+
+def test_rows_that_share_an_id(spark, sf):
+    names = "doc_id long, text string, lang string, source string, n_chars long, cluster map<string,int>"
+    one, other = "some plain words of one text", "quite another text than that, in other words"
+    rows = [(1, one, "en", "b", 0, {"a": 1}), (1, one, "en", "a", 0, {"a": 1}), (1, other, "en", "b", 0, None), (2, "a third text that shares no words in a row", None, None, None, None), (None, one, None, None, None, None), (None, one, None, None, None, None)]
+    got = corpus_pipeline.minhash_near_dedup(spark, spark.createDataFrame(rows, names), sf).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter([(1, one, "a"), (1, other, "b"), (2, "a third text that shares no words in a row", None), (None, one, None), (None, one, None)])
 
 
 def test_decontamination(spark, sf, stages):
