@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import stash, string_slices, text_or_empty
 
 END = 1
+#: Levels of the search whose sums are held, about half a megabyte each at most; those of higher levels are made again.
+HELD_LEVELS = 100
 
 #: What the tokenizer's file splits words by, for texts of ASCII and Latin-1 letters in lower case.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\x0b\x0c\r0-9a-zß-öø-ÿ]+")
@@ -71,7 +74,7 @@ class CachedTokenizer:
     word spans, and its parts go through the whole tokenizer. Latin words hold 2 * cache_bytes at most, others a quarter.
     """
 
-    def __init__(self, definition: str, cache_bytes: int = 16_000_000):
+    def __init__(self, definition: str, cache_bytes: int = 40_000_000):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_str(definition)
@@ -293,18 +296,25 @@ def _complete(counts: dict[int, int], capacity: int, bins: int, nodes: int) -> t
             seen.add(pattern)
 
     failed_now: list[frozenset] = [frozenset()]
-    stack = [options(frozenset())]
+    inherited_at: list[frozenset] = [frozenset()]
+    stack: list[Iterator | None] = [options(frozenset())]
+    came = [0]  # how many options of each level have come
     while stack:
+        if stack[-1] is None:  # its sums were let go; the options that came are passed over
+            stack[-1] = islice(options(inherited_at[-1]), came[-1], None)
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
             failed_now.pop()
+            came.pop()
+            inherited_at.pop()
             if chosen:
                 pattern, times = chosen.pop()
                 for s, n in Counter(pattern).items():
                     left[s] = left.get(s, 0) + n * times
                 waste += times * (capacity - sum(pattern))
             continue
+        came[-1] += 1
         if not nodes:
             return None, False
         nodes -= 1
@@ -326,6 +336,10 @@ def _complete(counts: dict[int, int], capacity: int, bins: int, nodes: int) -> t
         same = max(left) == pattern[0]
         inherited = failed_now[-1] if same else frozenset()
         failed_now.append(inherited)
+        inherited_at.append(inherited)
+        came.append(0)
+        if len(stack) >= HELD_LEVELS:
+            stack[-HELD_LEVELS] = None
         stack.append(options(inherited))
     return None, True
 
