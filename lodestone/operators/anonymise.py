@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.errors import InvalidArgs
 from lodestone.functions.masking import mask_column
+from lodestone.functions.validators import keep_valid
+from lodestone.operators.pii import spans
 from lodestone.sources.formats import quoted
 
 METHODS = ("redact", "mask", "hash", "tokenise", "replace", "format_preserving", "pseudonym", "null")
@@ -56,8 +60,32 @@ def anonymise(df: DataFrame, plan: dict[str, dict]) -> DataFrame:
 
 
 def redact_text(col: Column, recognizers: list) -> Column:
-    """Free text with every match of the recognisers' patterns replaced by the entity's name in brackets."""
-    for r in recognizers:
-        for p in r.patterns:
-            col = F.regexp_replace(col, F.lit(p), F.lit(f"[{r.entity}]"))
-    return col
+    """Free text with every valid match of the recognisers replaced by the entity's name in brackets.
+
+    All are found in the text as it was. Where matches overlap, they go together, under the entity whose match starts first
+    (of those, the longest). Null stays null.
+    """
+
+    def named(entity: str) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.lit(entity).alias("entity"))
+
+    found = [F.transform(_valid_spans(col, r), named(r.entity)) for r in recognizers]
+    ordered_spans = F.array_sort(F.concat(*found)) if found else F.array().cast("array<struct<start:int,end:int,entity:string>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        end = -s["end"]
+        cut = F.concat(acc["out"], F.substring(col, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["entity"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(s["start"] >= acc["at"], cut).otherwise(acc["out"]).alias("out"))
+
+    return F.when(col.isNotNull(), F.aggregate(ordered_spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(col, acc["at"] + 1, F.length(col))))).alias("redacted")
+
+
+def _valid_spans(col: Column, r) -> Column:
+    """The spans of a recogniser's matches that pass its validators."""
+    found = spans(col, r)
+    if not r.validators:
+        return found
+    valid = keep_valid(F.transform(found, lambda s: s["match"]), list(r.validators))
+    flagged = F.transform(F.arrays_zip(found.alias("span"), F.array_repeat(valid, F.size(found)).alias("valid")), lambda x: F.struct(x["span"].alias("span"), F.array_contains(x["valid"], x["span"]["match"]).alias("ok")))
+    return F.transform(F.filter(flagged, lambda x: x["ok"]), lambda x: x["span"])

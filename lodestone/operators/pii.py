@@ -1,8 +1,8 @@
 """Personal-data scans: recognisers of patterns, validators and context, with a confidence that follows from them.
 
-A scan is one projection, which finds and validates candidates of every column and recogniser, and one aggregation.
-The few rows of evidence of each finding come from a bounded heap in each task. What static types rule out is not
-searched for.
+A scan is one projection, which finds and validates candidates of every column and recogniser. Its hits are held, since
+one aggregation counts them and a ranking that is cut before its shuffle takes the first rows of each as
+evidence. What static types rule out is not searched for.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +22,7 @@ from lodestone.errors import ExitCode, InputNotFound, InvalidArgs, UnsupportedIn
 from lodestone.functions.masking import mask
 from lodestone.functions.validators import NAMES, keep_valid
 from lodestone.operators.profile import choose_columns
-from lodestone.sources.formats import ordered, quoted, read_typed
+from lodestone.sources.formats import ordered, quoted, read_typed, spread
 
 VALIDATOR_BONUS, CONTEXT_BONUS, EVIDENCE = 0.10, 0.05, 3
 
@@ -45,44 +46,58 @@ class Recognizer:
         return {"id": self.id, "entity": self.entity, "base_confidence": self.base, "pattern_count": len(self.patterns)}
 
 
-def _built(id_: str, entity: str, base: float, pattern: str, context: str = "", validator: str = "") -> Recognizer:
-    return Recognizer(id_, entity, base, (pattern,), tuple(c.strip() for c in context.split(",") if c.strip()), (validator,) if validator else (), True)
+def _built(id_: str, entity: str, base: float, pattern: str, context: tuple[str, ...] = (), validator: str = "") -> Recognizer:
+    return Recognizer(id_, entity, base, (pattern,), context, (validator,) if validator else (), True)
 
 
 #: The built-in recognisers in their stable order.
 BUILTINS = [
-    _built("email_address", "EMAIL_ADDRESS", 0.75, r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", "email, e-mail"),
-    _built("phone_number", "PHONE_NUMBER", 0.60, r"\(\d{3}\)\s?\d{3}-\d{4}|\b\d{3}-\d{3}-\d{4}\b|\b\d{3}\.\d{3}\.\d{4}\b", "phone, phone_number, mobile, cell, telephone"),
-    _built("ip_address_v4", "IP_ADDRESS_V4", 0.55, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "ipv4, ip_address, ip address, ipaddr", "ipv4"),
-    _built("ip_address_v6", "IP_ADDRESS_V6", 0.55, r"[0-9A-Fa-f:]{2,45}", "ipv6, ip_address, ip address, ipaddr", "ipv6"),
-    _built("url", "URL", 0.65, r"""(?i)\bhttps?://[^\s"'<>]+""", "url, website, link, uri", "url"),
-    _built("us_ssn", "US_SSN", 0.75, r"\b\d{3}-\d{2}-\d{4}\b", "ssn, social_security, taxpayer_id", "us_ssn"),
-    _built("credit_card", "CREDIT_CARD", 0.70, r"\b\d[\d -]{11,21}\d\b", "credit_card, card_number, creditcard, cc_number", "luhn"),
-    _built("uuid", "UUID", 0.55, r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "uuid, guid", "uuid"),
-    _built("mac_address", "MAC_ADDRESS", 0.80, r"(?i)\b(?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2}\b", "mac_address, macaddr, hwaddr"),
-    _built("us_zip_code", "US_ZIP_CODE", 0.50, r"\b\d{5}(?:-\d{4})?\b", "zip, zip_code, zipcode, postal_code, postal", "us_zip"),
+    _built("email_address", "EMAIL_ADDRESS", 0.75, r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", ("email", "e-mail")),
+    _built("phone_number", "PHONE_NUMBER", 0.60, r"\(\d{3}\)\s?\d{3}-\d{4}|\b\d{3}-\d{3}-\d{4}\b|\b\d{3}\.\d{3}\.\d{4}\b", ("phone", "phone_number", "mobile", "cell", "telephone")),
+    _built("ip_address_v4", "IP_ADDRESS_V4", 0.55, r"\b(?:\d{1,3}\.){3}\d{1,3}\b", ("ipv4", "ip_address", "ip address", "ipaddr"), "ipv4"),
+    _built("ip_address_v6", "IP_ADDRESS_V6", 0.55, r"[0-9A-Fa-f:]{2,45}", ("ipv6", "ip_address", "ip address", "ipaddr"), "ipv6"),
+    _built("url", "URL", 0.65, r"""(?i)\bhttps?://[^\s"'<>]+""", ("url", "website", "link", "uri"), "url"),
+    _built("us_ssn", "US_SSN", 0.75, r"\b\d{3}-\d{2}-\d{4}\b", ("ssn", "social_security", "taxpayer_id"), "us_ssn"),
+    _built("credit_card", "CREDIT_CARD", 0.70, r"\b\d[\d -]{11,21}\d\b", ("credit_card", "card_number", "creditcard", "cc_number"), "luhn"),
+    _built("uuid", "UUID", 0.55, r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", ("uuid", "guid"), "uuid"),
+    _built("mac_address", "MAC_ADDRESS", 0.80, r"(?i)\b(?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2}\b", ("mac_address", "macaddr", "hwaddr")),
+    _built("us_zip_code", "US_ZIP_CODE", 0.50, r"\b\d{5}(?:-\d{4})?\b", ("zip", "zip_code", "zipcode", "postal_code", "postal"), "us_zip"),
 ]
 #: Further entities, on request.
 EXTRA = [
-    _built("aba_routing", "ABA_ROUTING_NUMBER", 0.40, r"\b\d{9}\b", "aba, routing", "aba"),
-    _built("iban", "IBAN", 0.65, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", "iban, account", "iban"),
-    _built("date_of_birth", "DATE_OF_BIRTH", 0.30, r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b", "birth, dob", "birth_date"),
+    _built("aba_routing", "ABA_ROUTING_NUMBER", 0.40, r"\b\d{9}\b", ("aba", "routing"), "aba"),
+    _built("iban", "IBAN", 0.65, r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", ("iban", "account"), "iban"),
+    _built("date_of_birth", "DATE_OF_BIRTH", 0.30, r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b", ("birth", "dob"), "birth_date"),
 ]
 
 
 # --- recognisers from YAML
 
 
+def java_pattern(pattern: str) -> str:
+    """A pattern as Spark runs it: classes such as \\d and \\b know all of Unicode, and groups lose names that Java would refuse."""
+    return "(?U)" + re.sub(r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z_][A-Za-z0-9_]*>", r"\1(?:", pattern)
+
+
 def _compiles(pattern: str) -> str | None:
-    """Why a pattern is refused: it must be a regular expression without look-around or back-references."""
-    if re.search(r"\(\?(?:[=!]|<[=!])", pattern):
-        return "look-around is not supported"
-    if re.search(r"(?<!\\)(?:\\\\)*\\[1-9]", pattern):
+    """Why a pattern is refused: it must be a regular expression of Java's, without look-around, back-references, atomic groups
+    or possessive repeats. Without a running JVM, Python's compiler stands in for Java's."""
+    if re.search(r"\(\?(?:[=!>]|<[=!])", pattern):
+        return "look-around and atomic groups are not supported"
+    if re.search(r"(?<!\\)(?:\\\\)*\\[1-9k]", pattern):
         return "back-references are not supported"
+    if re.search(r"(?<!\\)(?:\\\\)*[*+?}]\+", re.sub(r"\[(?:\\.|[^\]])*\]", "", pattern)):
+        return "possessive repeats are not supported"
+    context = SparkContext._active_spark_context
     try:
-        re.compile(pattern)
+        if context is None:
+            re.compile(pattern)
+        else:
+            context._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
     except re.error as e:
         return str(e)
+    except IllegalArgumentException as e:
+        return str(e).splitlines()[0]
     return None
 
 
@@ -147,21 +162,40 @@ def recognizers_frame(spark: SparkSession, recognizers: Iterable[Recognizer] = B
 # --- scanning
 
 
+def _all(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def spans(text: Column, r: Recognizer) -> Column:
+    """Array of structs (start, end, match) of all matches, distinct, in order; code points, end exclusive.
+
+    The text between matches and the matches alternate, so running sums of their lengths are the places."""
+    whole = "array<struct<start:int,end:int,match:string>>"
+
+    def of(pattern: str) -> Column:
+        zipped = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), _all(text, pattern).alias("match"))
+        start = lambda acc, x: acc["at"] + x["gap"]
+        end = lambda acc, x: start(acc, x) + F.length(x["match"])
+        step = lambda acc, x: F.struct(end(acc, x).alias("at"), F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), end(acc, x).alias("end"), x["match"].alias("match")))).alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(whole).alias("out"))
+        return F.aggregate(F.filter(zipped, lambda x: F.length(x["match"]) > 0), zero, step, lambda acc: acc["out"])
+
+    return F.array_sort(F.array_distinct(F.concat(*(of(java_pattern(p)) for p in r.patterns))))
+
+
 def candidates(text: Column, r: Recognizer) -> Column:
     """All matches in a value, in order of their starts; spans that several patterns find count once."""
     if len(r.patterns) == 1:
-        return F.regexp_extract_all(text, F.lit(r.patterns[0]), F.lit(0))
-    compiled = [re.compile(p) for p in r.patterns]
+        return _all(text, java_pattern(r.patterns[0]))
+    return F.transform(spans(text, r), lambda s: s["match"])
 
-    @F.pandas_udf("array<string>")
-    def spans(values: pd.Series) -> pd.Series:
-        def one(v: str) -> list[str]:
-            found = {m.span() for p in compiled for m in p.finditer(v)}
-            return [v[a:b] for a, b in sorted(found)]
 
-        return values.map(lambda v: None if v is None else one(v))
-
-    return spans(text)
+def _to_test(text: Column, r: Recognizer) -> tuple[Column, Column]:
+    """(candidates worth testing, whether there are others): of IPv6's hex runs, only those with a colon can be valid."""
+    if r.builtin and r.id == "ip_address_v6":
+        runs = _all(text, "(?<![0-9A-Fa-f:])[0-9A-Fa-f]*+:[0-9A-Fa-f:]*+")
+        return F.flatten(F.transform(runs, lambda x: _all(x, r.patterns[0]))), text.rlike("(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2,}+(?!:)")
+    return candidates(text, r), F.lit(False)
 
 
 def possible(r: Recognizer, kind: T.DataType) -> bool:
@@ -216,28 +250,40 @@ def scan(df: DataFrame, recognizers: list[Recognizer] = BUILTINS, fields: list[s
     choose_columns(df.select(*(F.col(quoted(c)) for c in names)), fields, "field")
     if "__row" not in df.columns:
         df = ordered(df, "", "text")
+    df = spread(df)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    pairs = [(c, r) for c in (fields or names) for r in recognizers if possible(r, kinds[c])]
-    cols, aggs = [], []
-    for i, (c, r) in enumerate(pairs):
-        cols.append(candidates(F.col(quoted(c)).cast("string"), r).alias(f"f{i}"))
-    base = df.select("__row", *(F.col(quoted(c)).isNotNull().alias(f"n{j}") for j, c in enumerate(fields or names)), *cols)
+    scanned = fields or names
+    pairs = [(c, r) for c in scanned for r in recognizers if possible(r, kinds[c])]
+    tested = [_to_test(F.col(quoted(c)).cast("string"), r) for c, r in pairs]
+    base = df.select("__row", *(x.alias(f"{m}{i}") for i, two in enumerate(tested) for m, x in zip("fo", two, strict=True)))
     base = base.select("*", *(keep_valid(F.col(f"f{i}"), list(r.validators)).alias(f"v{i}") for i, (_, r) in enumerate(pairs)))
-    for i in range(len(pairs)):
-        aggs += [F.sum(F.size(f"f{i}")).alias(f"c{i}"), F.sum(F.size(f"v{i}")).alias(f"w{i}"), F.count_if(F.size(f"v{i}") > 0).alias(f"r{i}")]
-    row = base.agg(F.count("*").alias("rows"), *(F.count_if(f"n{j}").alias(f"k{j}") for j in range(len(fields or names))), *aggs).first()
-    column_at = {c: j for j, c in enumerate(fields or names)}
+    found = [
+        F.struct(F.lit(i).alias("pair"), F.size(f"v{i}").alias("valid"), (F.col(f"o{i}") | (F.size(f"f{i}") > F.size(f"v{i}"))).alias("invalid"), F.slice(f"v{i}", 1, EVIDENCE).alias("shown"))
+        for i in range(len(pairs))
+    ]
+    hits = base.select("__row", F.explode(F.filter(F.array(*found), lambda x: (x["valid"] > 0) | x["invalid"])).alias("x")).select("__row", "x.*").persist() if pairs else None
+    try:
+        row = df.agg(F.count("*").alias("rows"), *(F.count(F.col(quoted(c))).alias(f"k{j}") for j, c in enumerate(scanned))).first()
+        sums, shown = {}, {}
+        if hits is not None:
+            sums = {x.pair: x for x in hits.groupBy("pair").agg(F.count_if(F.col("valid") > 0).alias("hits"), F.max("invalid").alias("invalid")).collect()}
+            first = Window.partitionBy("pair").orderBy("__row")
+            for x in hits.where("valid > 0").withColumn("at", F.row_number().over(first)).where(F.col("at") <= EVIDENCE).orderBy("pair", "at").select("pair", "shown").collect():  # three rows of each pair
+                shown.setdefault(x.pair, []).extend(x.shown)
+    finally:
+        if hits is not None:
+            hits.unpersist()
+    column_at = {c: j for j, c in enumerate(scanned)}
     findings = []
     for i, (c, r) in enumerate(pairs):
-        hits, non_null = row[f"r{i}"], row[f"k{column_at[c]}"]
-        if not hits:
+        n, non_null = sums[i].hits if i in sums else 0, row[f"k{column_at[c]}"]
+        if not n:
             continue
         term = r.context_term(c)
-        share = hits / non_null * 100 if non_null else 0.0
-        top = base.where(F.size(f"v{i}") > 0).select("__row", F.col(f"v{i}").alias("v")).orderBy("__row").limit(EVIDENCE).collect()
-        shown = [mask(m) for t in sorted(top, key=lambda t: t["__row"]) for m in t.v][:EVIDENCE]
-        reason = (f"column name matches context term '{term}'; " if term else "") + f"{hits}/{non_null} values ({share:.1f}%) matched {r.entity}" + (" and passed validation" if r.validators else "")
-        findings.append({"column": c, "entity": r.entity, "recognizer": r.id, "confidence": confidence(r.base, bool(r.validators) and row[f"c{i}"] == row[f"w{i}"], term is not None), "match_count": hits, "match_percentage": share, "sample_evidence": shown, "reason": reason})
+        share = n / non_null * 100 if non_null else 0.0
+        reason = (f"column name matches context term '{term}'; " if term else "") + f"{n}/{non_null} values ({share:.1f}%) matched {r.entity}" + (" and passed validation" if r.validators else "")
+        score = confidence(r.base, bool(r.validators) and not sums[i].invalid, term is not None)
+        findings.append({"column": c, "entity": r.entity, "recognizer": r.id, "confidence": score, "match_count": n, "match_percentage": share, "sample_evidence": [mask(m) for m in shown[i][:EVIDENCE]], "reason": reason})
     return row["rows"], findings
 
 

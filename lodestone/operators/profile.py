@@ -1,7 +1,7 @@
 """Column profiles.
 
 Everything but distinct values comes from aggregations over a few columns each, which run side by side. Distinct
-counts and the most frequent values share one frequency table for each column, in one job for all: a partial count below
+counts and the most frequent values share one frequency table for each column, a job each: a partial count below
 the shuffle, so what moves is at most the distinct values of each task. Nothing is expanded, and the driver only sees
 one row for each column and ten values.
 """
@@ -22,6 +22,7 @@ from lodestone.sources.formats import ordered, quoted, read_typed
 TOP, DECIMALS = 10, 9
 #: Columns for each aggregation: few enough that its generated code is compiled. A columnar file is still read once in all.
 WIDTH = 4
+#: Fixed values.
 QUANTILES = [("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p99", 0.99)]
 ID_NAME = re.compile(r"(?i)^(id|.*_id|.*id)$")
 
@@ -127,18 +128,14 @@ def _plain(value, kind: str):
     return float(value) if kind in NUMERIC else str(value)
 
 
-def frequent_frame(df: DataFrame, k: int = TOP) -> DataFrame:
-    """(column_name, value, n) for each column: its k most frequent values, and a row with a null value and the distinct count.
+def frequent_frame(df: DataFrame, name: str, k: int = TOP) -> DataFrame:
+    """(column_name, value, n): a column's k most frequent values, and a row with a null value and the distinct count.
 
-    Both parts read one frequency table, whose exchange Spark runs once; all columns are one plan.
+    Both parts read one frequency table, whose exchange Spark runs once.
     """
-    out = None
-    for name in df.columns:
-        table = frequencies(df, name)
-        top = table.orderBy(F.desc("n"), F.asc("value")).limit(k).select(F.lit(name).alias("column_name"), F.col("value").cast("string").alias("value"), "n")
-        both = top.union(table.agg(F.count("*").alias("n")).select(F.lit(name), F.lit(None).cast("string"), "n"))
-        out = both if out is None else out.union(both)
-    return out
+    table = frequencies(df, name)
+    top = table.orderBy(F.desc("n"), F.asc("value")).limit(k).select(F.lit(name).alias("column_name"), F.col("value").cast("string").alias("value"), "n")
+    return top.union(table.agg(F.count("*").alias("n")).select(F.lit(name), F.lit(None).cast("string"), "n"))
 
 
 def _from_text(text: str, kind: str):
@@ -159,10 +156,10 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = False
         aggregates = [x.alias(f"{i}_{m}") for i, own in numbered[lo : lo + WIDTH] for m, x in own.items()]
         return df.agg(F.count("*").alias("rows"), *aggregates).first().asDict()
 
-    with ThreadPoolExecutor(4) as pool:
-        wanted = pool.submit(lambda: frequent_frame(df).collect())
+    with ThreadPoolExecutor(8) as pool:  # jobs of a few tasks each share the cluster
+        wanted = [pool.submit(lambda c=c: frequent_frame(df, c).collect()) for c in kinds]
         row = {k: v for p in pool.map(part, range(0, len(numbered), WIDTH)) for k, v in p.items()}
-        frequent = wanted.result()
+        frequent = [r for w in wanted for r in w.result()]
     rows = row["rows"]
     tops: dict[str, tuple[int, list]] = {c: (0, []) for c in kinds}
     for r in frequent:

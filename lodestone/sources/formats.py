@@ -114,12 +114,19 @@ def table_name(path: str) -> str:
     return "t" if not name else f"t_{name}" if name[0].isdigit() else name
 
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "PERMISSIVE", "encoding": "UTF-8"}
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "encoding": "UTF-8"}
+
+
+def _delimited(spark: SparkSession, path: str, fmt: str) -> dict:
+    """Options of a delimited file. Files are split by lines among tasks, unless a quoted field spans lines: then one has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    spans_lines = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    return CSV_OPTIONS | {"multiLine": spans_lines, "sep": "\t" if fmt == "tsv" else ","}
 
 
 def read_strings(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     """A delimited file with every value as text and empty fields as null."""
-    df = spark.read.options(**CSV_OPTIONS, sep="\t" if fmt == "tsv" else ",", inferSchema=False, nullValue="", emptyValue="").csv(path)
+    df = spark.read.options(**_delimited(spark, path, fmt), inferSchema=False, nullValue="", emptyValue="").csv(path)
     return df.select(*(F.nullif(F.col(quoted(c)), F.lit("")).alias(c) for c in df.columns))
 
 
@@ -129,7 +136,7 @@ def read_typed(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt in ("csv", "tsv"):
-        return spark.read.options(**CSV_OPTIONS, sep="\t" if fmt == "tsv" else ",", inferSchema=True).csv(path)
+        return spark.read.options(**_delimited(spark, path, fmt), inferSchema=True).csv(path)
     if fmt == "jsonl":
         try:
             return spark.read.option("mode", "FAILFAST").json(path)
@@ -160,15 +167,53 @@ def ordered(df: DataFrame, path: str, fmt: str) -> DataFrame:
     return df.select("*", F.struct(F.lit("").alias("file_path"), F.monotonically_increasing_id().alias("row_index")).alias("__row"))
 
 
+def row_groups(spark: SparkSession, files: list[str], enough: int) -> int:
+    """How many row groups Parquet files have by their footers, counted up to `enough`."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for file in files:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+        try:
+            n += len(reader.getFooter().getBlocks())
+        finally:
+            reader.close()
+        if n >= enough:
+            break
+    return n
+
+
+def spread(df: DataFrame, most_files: int = 64) -> DataFrame:
+    """df read from Parquet, dealt out anew if it has fewer row groups than the cluster has cores, since a task reads a whole one.
+
+    Only tables of a few files can be that small, so larger ones are never looked at nor moved."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, df.inputFiles()
+    few = 0 < len(files) < min(cores, most_files) and row_groups(df.sparkSession, files, cores) < cores
+    return df.repartition(cores) if few else df
+
+
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """An Arrow IPC file or stream as a DataFrame."""
+    """An Arrow IPC file or stream as a DataFrame: the driver reads the schema and the number of batches, tasks read the batches.
+
+    A stream has no index, so its batches are read in one task, one at a time. The path must be one that executors can open."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import from_arrow_schema
 
     with open(path, "rb") as f:
         magic = f.read(6) == b"ARROW1"
     with pa.memory_map(path) as source:
-        table = pa.ipc.open_file(source).read_all() if magic else pa.ipc.open_stream(source).read_all()
-    return spark.createDataFrame(table)
+        reader = pa.ipc.open_file(source) if magic else pa.ipc.open_stream(source)
+        schema, batches = from_arrow_schema(reader.schema), reader.num_record_batches if magic else 1
+
+    def read(numbers):
+        with pa.memory_map(path) as held:
+            if not magic:
+                for _ in numbers:
+                    yield from pa.ipc.open_stream(held)
+                return
+            opened = pa.ipc.open_file(held)
+            for rows in numbers:
+                yield from (opened.get_batch(k) for k in rows.column(0).to_pylist())
+
+    return spark.range(0, batches, 1, max(1, min(batches, spark.sparkContext.defaultParallelism))).mapInArrow(read, schema)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
