@@ -105,12 +105,12 @@ class App:
         self.say(json.dumps(self.builder.build(), ensure_ascii=False, indent=2, default=str) if self.output == "json" else text)
 
     def _open(self) -> tuple[Any, str]:
-        from lodestone.sources.formats import content_hash, detect
+        from lodestone.sources.formats import content_hash, detect, is_remote, require
 
         a = self.args
         if a.path == "-" and a.command != "inspect":
             raise InvalidArgs(f"{a.command} does not read standard input", "give a path")
-        fmt = detect(a.path, a.type)
+        fmt = detect(a.path, a.type, session() if is_remote(a.path) and not a.type else None)
         path = a.path
         if path == "-":
             with tempfile.NamedTemporaryFile("wb", suffix=f".{fmt}", delete=False) as f:
@@ -118,8 +118,8 @@ class App:
             path = f.name
             if fmt == "parquet":
                 raise InvalidArgs("Parquet cannot be read from standard input", "give a path")
-        elif not os.path.exists(path):
-            raise InputNotFound(f"{path} does not exist", "check the path")
+        else:
+            require(session() if is_remote(path) else None, path)
         self.builder.on(a.path, fmt, content_hash(path) if a.path != "-" and os.path.isfile(path) else None)
         return path, fmt
 

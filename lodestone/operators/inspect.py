@@ -184,7 +184,11 @@ def inspect(spark: SparkSession, path: str, fmt: str) -> dict:
     if path == "-":
         raise InvalidArgs("standard input must be spooled first", "pass a path")
     require(spark, path)
-    size = 0 if is_remote(path) else os.path.getsize(path) if os.path.isfile(path) else sum(e.stat().st_size for e in os.scandir(path) if e.is_file())
+    if is_remote(path):
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = root.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(root).getLength()
+    else:
+        size = os.path.getsize(path) if os.path.isfile(path) else sum(e.stat().st_size for e in os.scandir(path) if e.is_file())
     if fmt == "parquet":
         return inspect_parquet(spark, path, size)
     return inspect_json(spark, path, fmt, size) if fmt in ("json", "jsonl") else inspect_delimited(spark, path, fmt, size)

@@ -219,7 +219,7 @@ def pii_recognizers_list(spark, sf_dir):
 
 
 def pii_scan_documents(spark, sf_dir):
-    return pii.findings_frame(spark, pii.scan(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))[1])
+    return pii.findings_frame(spark, pii.scan(table(spark, sf_dir, "documents"))[1])
 
 
 register("pii_scan_documents", pii_scan_documents)
@@ -256,13 +256,13 @@ RELATIONAL: dict[str, str | tuple[str, str]] = {
     "rel_union_all": "SELECT 'c' AS who, c_nationkey AS k FROM customer UNION ALL SELECT 's', s_nationkey FROM supplier",
     "rel_intersect": "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT user_id FROM events",
     "rel_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
-    "rel_except_all": "SELECT o_orderstatus AS k FROM orders WHERE o_orderkey < 500 EXCEPT ALL SELECT o_orderstatus FROM orders WHERE o_orderkey < 200",
+    "rel_except_all": "SELECT o_orderstatus AS k FROM orders EXCEPT ALL SELECT o_orderstatus FROM orders WHERE o_totalprice > 100000",
     "rel_cte": "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE total > (SELECT avg(total) FROM big)) SELECT c_mktsegment, count(*) AS n FROM top JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
     "rel_recursive": "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t",
     "rel_scalar_subquery": "SELECT p_partkey, p_retailprice - (SELECT avg(l_extendedprice) FROM lineitem WHERE l_partkey = p_partkey) IS NOT NULL AS sold FROM part",
     "rel_pivot": ("SELECT * FROM (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY 1"),
-    "rel_unpivot": ("SELECT l_orderkey, l_linenumber, kind, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_orderkey < 300) UNPIVOT (amount FOR kind IN (l_discount, l_tax))", "SELECT l_orderkey, l_linenumber, kind, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_orderkey < 300) UNPIVOT (amount FOR kind IN (l_discount, l_tax))"),
-    "rel_explode": ("SELECT vec_id, CAST(x AS FLOAT) AS x FROM embeddings LATERAL VIEW explode(slice(embedding, 1, 3)) t AS x", "SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings"),
+    "rel_unpivot": ("SELECT l_orderkey, l_linenumber, kind, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (amount FOR kind IN (l_discount, l_tax))", "SELECT l_orderkey, l_linenumber, kind, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (amount FOR kind IN (l_discount, l_tax))"),
+    "rel_explode": ("SELECT vec_id, CAST(x AS FLOAT) AS x FROM embeddings LATERAL VIEW explode(embedding) t AS x", "SELECT vec_id, unnest(embedding) AS x FROM embeddings"),
     "rel_lateral": ("SELECT c.c_custkey, o.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 250000) o", "SELECT c.c_custkey, o.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 250000) o"),
     "rel_approx": ("SELECT count(*) AS n, abs(approx_count_distinct(o_custkey, 0.01) - count(DISTINCT o_custkey)) <= 0.05 * count(DISTINCT o_custkey) AS near FROM orders", "SELECT count(*) AS n, true AS near FROM orders"),
     "fn_string": ("SELECT doc_id, upper(lang) AS u, length(text) AS n, trim(concat('  ', lang, ' ')) AS t, substr(text, 3, 5) AS s, replace(source, 'src', 's-') AS r, lpad(lang, 5, '*') AS lp, rpad(lang, 5, '*') AS rp, reverse(source) AS rev, repeat(lang, 2) AS rep, translate(source, 'src', 'SRC') AS tr, instr(source, 'c') AS i, split_part(source, 'c', 2) AS sp, md5(text) AS m, sha2(text, 256) AS h FROM documents", "SELECT doc_id, upper(lang) AS u, CAST(length(text) AS INTEGER) AS n, trim('  ' || lang || ' ') AS t, substr(text, 3, 5) AS s, replace(source, 'src', 's-') AS r, lpad(lang, 5, '*') AS lp, rpad(lang, 5, '*') AS rp, reverse(source) AS rev, repeat(lang, 2) AS rep, translate(source, 'src', 'SRC') AS tr, CAST(instr(source, 'c') AS INTEGER) AS i, split_part(source, 'c', 2) AS sp, md5(text) AS m, sha256(text) AS h FROM documents"),
