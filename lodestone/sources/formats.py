@@ -186,7 +186,7 @@ def spread(df: DataFrame, most_files: int = 64) -> DataFrame:
 
     Only tables of a few files can be that small, so larger ones are never looked at nor moved."""
     cores, files = df.sparkSession.sparkContext.defaultParallelism, df.inputFiles()
-    few = 0 < len(files) < min(cores, most_files) and row_groups(df.sparkSession, files, cores) < cores
+    few = 0 < len(files) < min(cores, most_files) and all(f.endswith(".parquet") for f in files) and row_groups(df.sparkSession, files, cores) < cores
     return df.repartition(cores) if few else df
 
 
