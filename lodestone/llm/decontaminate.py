@@ -8,9 +8,9 @@ therefore keeps a seed when the (T - 3) / 2 most frequent places of the item are
 of all other, rarer places, and no alignment that reaches T is lost. Items whose T is below 3 use single words.
 
 A first pass over the corpus counts the items' pairs, a second emits where seeds stand, and a join on the pair brings
-the items' places to them. Documents that met an item join what they met, and the words around each meeting are
-aligned, as far as gaps can reach. Seeds, places and meetings are tables; the driver holds only a bit table of
-2**BITS bits that passes the hashes of the items' pairs (and few others, which the join drops).
+the items' places to them. Documents with seeds are written apart and join what they met, and the words around
+each meeting are aligned, as far as gaps can reach. Seeds, places and meetings are tables; the driver holds only a
+Bloom filter of 2**BITS bits that passes the hashes of the items' pairs (and few others, which the join drops).
 """
 
 from __future__ import annotations
@@ -74,9 +74,10 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bit_table(seeds: DataFrame):
-    """A bit for each value of the first BITS bits of a gram, set where a seed has them."""
-    prefixes = seeds.select(F.shiftrightunsigned("gram", 64 - BITS).alias("prefix")).distinct().repartition(1)  # 2**BITS rows at most
-    return seeds.sparkSession.sparkContext.broadcast(bytes(prefixes.mapInArrow(_bitmap, "bits binary").first().bits))
+    """A Bloom filter of the grams: one bit for the value of the first BITS bits of each, one for that of the BITS after them."""
+    two = F.array(F.shiftrightunsigned("gram", 64 - BITS), F.shiftrightunsigned(F.shiftleft("gram", BITS), 64 - BITS))
+    places = seeds.select(F.explode(two).alias("place")).distinct().repartition(1)  # 2**BITS rows at most
+    return seeds.sparkSession.sparkContext.broadcast(bytes(places.mapInArrow(_bitmap, "bits binary").first().bits))
 
 
 def _passed(text: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,6 +87,7 @@ def _passed(text: pa.Array, table: np.ndarray) -> Iterator[tuple[int, np.ndarray
         for d in (0, 1, 2):
             x = _steps(h, d)
             at = np.flatnonzero(table[(x >> U(64 - BITS)).astype(np.int64)])
+            at = at[table[((x[at] << U(BITS)) >> U(64 - BITS)).astype(np.int64)]]
             owner, valid = _within(bounds, at, d)
             at, owner = at[valid], owner[valid]
             yield i, owner, at - bounds[owner], x[at]
@@ -118,12 +120,21 @@ def _count_batches(bits, most: int = 500_000):
 
 
 def _hit_batches(bits):
+    """Documents that the bit table passes a pair of, with these pairs and their places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _unpacked(bits)
         for batch in batches:
-            for i, owner, p, grams in _passed(batch.column(2), table):
-                rows = pa.array(i + owner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams.view(np.int64)), pa.array(p)], names=["doc_id", "doc_hash", "gram", "p"])
+            found = [(i + owner, p, grams) for i, owner, p, grams in _passed(batch.column(2), table)]
+            if not found:
+                continue
+            owner, p, grams = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(owner, kind="stable")
+            rows, first = np.unique(owner[order], return_index=True)
+            held = batch.take(pa.array(rows))
+            bounds = pa.array(np.append(first, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order].view(np.int64))) for x in (grams, p)]
+            yield pa.RecordBatch.from_arrays([*(held.column(c) for c in range(3)), *lists], names=["doc_id", "doc_hash", "text", "grams", "ps"])
 
     return run
 
@@ -223,12 +234,14 @@ def _block_pairs(docs: DataFrame, items: DataFrame, least: float, passage: int)
     seeds = stash(met.join(rare, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")) & (F.col("o") == F.col("at")), "left_semi").select("gram", "item_id", "item_hash", "o"))
     if seeds.isEmpty():
         return None
-    hits = docs.mapInArrow(_hit_batches(_bit_table(seeds)), "doc_id long, doc_hash long, gram long, p long")
+    met_docs = stash(docs.mapInArrow(_hit_batches(_bit_table(seeds)), "doc_id long, doc_hash long, text string, grams array<long>, ps array<long>"))
+    hits = met_docs.select("doc_id", "doc_hash", F.explode(F.arrays_zip("grams", "ps")).alias("x")).select("doc_id", "doc_hash", F.col("x.grams").alias("gram"), F.col("x.ps").alias("p"))
     meetings = hits.join(seeds, "gram").groupBy("doc_id", "doc_hash", "item_id", "item_hash").agg(F.collect_set(F.col("p") - F.col("o")).alias("diagonals"))
     named = items.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), "item")
     meetings = meetings.join(named, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")))
     meetings = stash(meetings.groupBy(F.col("doc_id").alias("d"), F.col("doc_hash").alias("dh")).agg(F.collect_list(F.struct("item_id", "item_hash", "item", "diagonals")).alias("met")))
-    joined = docs.join(meetings, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_hash") == F.col("dh"))).select("doc_id", "text", "met")
+    # Both sides grow alike, so the join is by merging at every size.
+    joined = met_docs.join(meetings.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_hash") == F.col("dh"))).select("doc_id", "text", "met")
     return joined.mapInArrow(_align_batches(least, passage), "doc_id long, item_id long, item_hash long, score double, n_seeds long, first_word long")
 
 
