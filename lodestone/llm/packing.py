@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import stash, string_slices, text_or_empty
 
 END = 1
-#: Levels of the search whose sums are held, about half a megabyte each at most; those of higher levels are made again.
-HELD_LEVELS = 100
+#: Levels of the search whose sums are held, about two megabytes each at most; those of higher levels are made again.
+HELD_LEVELS = 10
+#: Pieces left from which on the search does not look whether one of them fits nowhere.
+FEW = 400
 
 #: What the tokenizer's file splits words by, for texts of ASCII and Latin-1 letters in lower case.
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\x0b\x0c\r0-9a-zß-öø-ÿ]+")
@@ -182,6 +184,21 @@ def _spread(bits: int, least: int, most: int) -> int:
     return out
 
 
+def _exact(left: dict[int, int], sizes: list[int], reach: list[int], i: int, rest: int) -> Iterator[list[tuple[int, int]]]:
+    """(size, number) lists from the i least sizes that sum to rest, larger sizes first."""
+    if not rest:
+        yield []
+        return
+    while i and reach[i] >> rest & 1:
+        s, lower = sizes[i - 1], reach[i - 1]
+        if s <= rest:
+            for n in range(min(left[s], rest // s), 0, -1):
+                if lower >> (rest - n * s) & 1:
+                    for more in _exact(left, sizes, reach, i - 1, rest - n * s):
+                        yield [(s, n), *more]
+        i -= 1
+
+
 def fillings(left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple[tuple[int, ...], int]]:
     """(filling, waste) for each undominated filling of room from the pieces left, least waste first, then larger pieces first.
 
@@ -196,33 +213,10 @@ def fillings(left: dict[int, int], room: int, most_waste: int) -> Iterator[tuple
     for s in sizes:
         spare |= 1 << s
 
-    def exact(i: int, rest: int) -> Iterator[list[tuple[int, int]]]:
-        """(size, number) lists from the i least sizes that sum to rest."""
-        if not rest:
-            yield []
-            return
-        while i and not reach[i - 1] >> rest & 1:  # the greatest size must be used: skip what cannot hold it all
-            s, lower = sizes[i - 1], reach[i - 1]
-            for n in range(min(left[s], rest // s), 0, -1):
-                if lower >> (rest - n * s) & 1:
-                    for more in exact(i - 1, rest - n * s):
-                        yield [(s, n), *more]
-            return
-        while i:
-            s, lower = sizes[i - 1], reach[i - 1]
-            if s <= rest:
-                for n in range(min(left[s], rest // s), 0, -1):
-                    if lower >> (rest - n * s) & 1:
-                        for more in exact(i - 1, rest - n * s):
-                            yield [(s, n), *more]
-            i -= 1
-            if not reach[i] >> rest & 1:
-                return
-
     for waste in range(min(room, most_waste) + 1):
         if not reach[-1] >> (room - waste) & 1:
             continue
-        for chosen in exact(len(sizes), room - waste):
+        for chosen in _exact(left, sizes, reach, len(sizes), room - waste):
             free, one, many, every = spare, 0, 0, 1
             for s, n in chosen:
                 if left[s] == n:
@@ -253,7 +247,7 @@ def _reach(sizes: list[int], left: dict[int, int], most: int) -> list[int]:
 
 def _hopeless(left: dict[int, int], capacity: int, waste: int) -> bool:
     """Whether some piece left has no filling beside it that wastes at most `waste`, even if it could be used beside itself."""
-    if waste >= capacity:
+    if waste >= capacity or sum(left.values()) > FEW:  # with many pieces left, next to every sum can be reached
         return False
     sizes = sorted(left)
     sums = _spread(_reach(sizes, left, capacity)[-1], 0, waste)
