@@ -234,7 +234,9 @@ def _reach(sizes: list[int], left: dict[int, int], most: int) -> list[int]:
     """[i]: as the bits of a number, the sums up to most that pieces of the i least sizes can have."""
     mask = (1 << (most + 1)) - 1
     out = [1]
-    for s in sizes:
+    for i, s in enumerate(sizes):
+        if (mask ^ out[-1]).bit_length() <= s:  # all sums from s on are there, and pieces of s or more add no others
+            return out + out[-1:] * (len(sizes) - i)
         bits, n, step = out[-1], min(left[s], most // s), 1
         while n > 0:
             take = min(step, n)
