@@ -76,7 +76,7 @@ class CachedTokenizer:
     word spans, and its parts go through the whole tokenizer. Latin words hold 2 * cache_bytes at most, others a quarter.
     """
 
-    def __init__(self, definition: str, cache_bytes: int = 10_000_000):
+    def __init__(self, definition: str, cache_bytes: int = 20_000_000):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_str(definition)
