@@ -2,19 +2,22 @@
 
 Everything but distinct values comes from aggregations over a few columns each, which run side by side. Distinct
 counts and the most frequent values share one frequency table for each column, a job each: a partial count below
-the shuffle, so what moves is at most the distinct values of each task. Nothing is expanded, and the driver only sees
-one row for each column and ten values.
+the shuffle, so what moves is at most the distinct values of each task. Quantiles are exact: approximate ones bracket
+them, and a second scan counts what lies below the brackets and ranks the values in them. Nothing is expanded, and the
+driver only sees one row for each column, ten values and five quantiles.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from concurrent.futures import ThreadPoolExecutor
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.errors import InvalidArgs, UnsupportedInput
+from lodestone.errors import InvalidArgs, LodestoneError, UnsupportedInput
 from lodestone.functions.masking import mask, mask_column, sensitive_fragment
 from lodestone.functions.types import ARRAY, BOOLEAN, FLOAT, INTEGER, NUMERIC, OBJECT, STRING, profile_type
 from lodestone.sources.formats import ordered, quoted, read_typed
@@ -24,6 +27,9 @@ TOP, DECIMALS = 10, 9
 WIDTH = 4
 #: Fixed values.
 QUANTILES = [("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p90", 0.9), ("p99", 0.99)]
+#: Approximate quantiles are off by a rank of rows / ACCURACY at most; exact ones are looked for MARGIN of the rows to both sides.
+ACCURACY = 10_000
+MARGIN = 2 / ACCURACY
 ID_NAME = re.compile(r"(?i)^(id|.*_id|.*id)$")
 
 
@@ -52,9 +58,43 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.to_json(col) if kind in (OBJECT, ARRAY) else col.cast("string")
 
 
-def quantiles(col: Column, exact: bool) -> Column:
-    at = [p for _, p in QUANTILES]
-    return F.percentile(col, at) if exact else F.percentile_approx(col, at, 10_000).cast("array<double>")
+def brackets(col: Column, margin: float) -> Column:
+    """Approximate quantiles `margin` below and above each of QUANTILES."""
+    return F.percentile_approx(col, [min(max(p + side, 0.0), 1.0) for _, p in QUANTILES for side in (-margin, margin)], ACCURACY)
+
+
+def ranked(df: DataFrame, name: str, ranks: list[int], around: list[float]) -> dict[int, float]:
+    """The values of a column at those of the ranks (from 1, nulls left out) that lie in the brackets `around`.
+
+    Values in a bracket count one by one, those between two brackets together, so one task sorts 3 of 1,000 rows at most.
+    """
+    ends: list[list[float]] = []
+    for lo, hi in sorted(zip(around[::2], around[1::2], strict=True)):
+        if ends and not lo > ends[-1][1]:
+            ends[-1][1] = max(ends[-1][1], hi)
+        else:
+            ends.append([lo, hi])
+    x = F.col("x")
+    part = sum(((x >= lo).cast("int") + (x > hi).cast("int") for lo, hi in ends), F.lit(0))  # odd within a bracket
+    cells = df.select(F.col(quoted(name)).cast("double").alias("x")).where("x is not null").select(part.alias("part"), "x")
+    cells = cells.groupBy("part", F.when(F.col("part") % 2 == 1, x).alias("x")).agg(F.count("*").alias("n"))
+    upto = cells.withColumn("upto", F.sum("n").over(Window.orderBy("part", "x")))
+    holds = lambda r: (F.col("upto") >= r) & (F.col("upto") - F.col("n") < r)
+    found = upto.select("x", *(holds(r).alias(str(r)) for r in sorted(set(ranks)))).where("x is not null and (" + " or ".join(f"`{r}`" for r in sorted(set(ranks))) + ")")
+    return {r: row.x for row in found.collect() for r in ranks if row[str(r)]}
+
+
+def exact_quantiles(df: DataFrame, name: str, rows: int, around: list[float]) -> list[float]:
+    """Of `rows` values that are not null, the least that the share of each quantile does not exceed."""
+    ranks = [max(1, math.ceil(Fraction(str(p)) * rows)) for _, p in QUANTILES]
+    margin = MARGIN
+    while margin < 8:  # from 1 on, the brackets hold all values
+        found = ranked(df, name, ranks, around)
+        if len(found) == len(set(ranks)):
+            return [found[r] for r in ranks]
+        margin = margin * 8 + 1 / ACCURACY
+        around = df.agg(brackets(F.col(quoted(name)).cast("double"), margin)).first()[0]
+    raise LodestoneError(f"column '{name}' changed while it was read")
 
 
 def _metrics(df: DataFrame, exact: bool) -> dict[str, dict[str, Column]]:
@@ -65,7 +105,8 @@ def _metrics(df: DataFrame, exact: bool) -> dict[str, dict[str, Column]]:
         if kind not in (OBJECT, ARRAY):
             own |= {"min": F.min(col), "max": F.max(col)}
         if kind in NUMERIC:
-            own |= {"mean": F.round(F.avg(col.cast("double")), DECIMALS), "stddev": F.round(F.stddev_samp(col.cast("double")), DECIMALS), "quantiles": quantiles(col.cast("double"), exact)}
+            own |= {"mean": F.round(F.avg(col.cast("double")), DECIMALS), "stddev": F.round(F.stddev_samp(col.cast("double")), DECIMALS)}
+            own |= {"quantiles": F.percentile(col.cast("double"), [p for _, p in QUANTILES])} if exact else {"around": brackets(col.cast("double"), MARGIN)}
         elif kind == STRING:
             own |= {"length_min": F.coalesce(F.min(F.length(text)), F.lit(0)), "length_max": F.coalesce(F.max(F.length(text)), F.lit(0)), "length_mean": F.round(F.coalesce(F.avg(F.length(text)), F.lit(0.0)), DECIMALS)}
         out[name] = own
@@ -100,9 +141,9 @@ def counts_frame(df: DataFrame) -> DataFrame:
     )
 
 
-def metric_frame(df: DataFrame, wanted: list[str], exact: bool = True) -> DataFrame:
+def metric_frame(df: DataFrame, wanted: list[str]) -> DataFrame:
     """One row for each column that has all wanted metrics, values as they are where all columns agree, else as text."""
-    metrics = {c: {m: x for m, x in own.items() if m in wanted} for c, own in _metrics(df, exact).items()}
+    metrics = {c: {m: x for m, x in own.items() if m in wanted} for c, own in _metrics(df, True).items()}
     metrics = {c: own for c, own in metrics.items() if set(wanted) <= set(own)}
     flat = df.agg(*(x.alias(f"{i}_{m}") for i, own in enumerate(metrics.values()) for m, x in own.items()))
     kinds = {m: {flat.schema[f"{i}_{m}"].dataType.simpleString() for i in range(len(metrics))} for m in wanted}
@@ -145,8 +186,8 @@ def _from_text(text: str, kind: str):
 def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = False, mask_identifiers: bool = False) -> list[dict]:
     """A profile of each column. Strings of sensitive columns, and of identifiers if asked for, come out masked only.
 
-    exact gives exact quantiles, whose state grows with the distinct values of a column; else it has a bound, and ranks are off by
-    a ten-thousandth at most.
+    Quantiles are values of the column: the least that a share of its values does not exceed, at the exact rank, by a state that
+    has a bound. exact interpolates between neighbours instead, by a state that grows with the distinct values of a column.
     """
     df = choose_columns(df, columns)
     kinds, metrics = types_of(df), _metrics(df, exact)
@@ -159,6 +200,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = False
     with ThreadPoolExecutor(8) as pool:  # jobs of a few tasks each share the cluster
         wanted = [pool.submit(lambda c=c: frequent_frame(df, c).collect()) for c in kinds]
         row = {k: v for p in pool.map(part, range(0, len(numbered), WIDTH)) for k, v in p.items()}
+        if not exact:
+            of = {f"{i}_quantiles": pool.submit(exact_quantiles, df, c, row[f"{i}_non_null"], row[f"{i}_around"]) for i, c in enumerate(kinds) if row.get(f"{i}_around")}
+            row |= {k: q.result() for k, q in of.items()}
         frequent = [r for w in wanted for r in w.result()]
     rows = row["rows"]
     tops: dict[str, tuple[int, list]] = {c: (0, []) for c in kinds}
@@ -180,7 +224,8 @@ def profile(df: DataFrame, columns: list[str] | None = None, exact: bool = False
         nulls = rows - got["non_null"]
         one = {"name": name, "data_type": kind, "row_count": rows, "null_count": nulls, "null_percentage": share(nulls), "distinct_count": distinct, "uniqueness_percentage": share(distinct), "min": show(got.get("min")), "max": show(got.get("max"))}
         if kind in NUMERIC:
-            q = None if got["quantiles"] is None else {k: round(v, DECIMALS) for (k, _), v in zip(QUANTILES, got["quantiles"], strict=True)}
+            q = row.get(f"{i}_quantiles")
+            q = q and {k: round(v, DECIMALS) for (k, _), v in zip(QUANTILES, q, strict=True)}
             one |= {"mean": got["mean"], "median": q and q["p50"], "stddev": got["stddev"], "quantiles": q}
         if kind == STRING:
             one["string_lengths"] = {"min": got["length_min"], "max": got["length_max"], "mean": got["length_mean"]}

@@ -12,6 +12,7 @@ from lodestone.errors import InputNotFound, InvalidArgs, LodestoneError, Unsuppo
 from lodestone.functions import validators
 from lodestone.functions.masking import mask, mask_column, sensitive_fragment
 from lodestone.operators import anonymise, drift, evaluate, lineage, pii, policy, quality, schema
+from lodestone.operators import profile as profiles
 from lodestone.operators.inspect import humanize_bytes, inspect
 from lodestone.operators.profile import profile, profile_file
 from lodestone.operators.quality import Rule
@@ -141,6 +142,27 @@ def test_profile_of_odd_types(spark):
     assert profile(spark.createDataFrame([("x" * 9,)], "username string"), mask_identifiers=True)[0]["top_values"][0]["value"] == "xx…xx"
 
 
+def test_profile_quantiles_are_exact(spark, monkeypatch):
+    n = 60_001
+    values = [(i * 7919) % n for i in range(n)]  # each of 0..60000 once
+    df = spark.createDataFrame([(v, v % 997, None if v % 3 else v / 8) for v in values], "a long, b int, c double").repartition(5)
+    plain = {"a": sorted(values), "b": sorted(v % 997 for v in values), "c": sorted(v / 8 for v in values if v % 3 == 0)}
+    want = {c: {k: float(x[-(-q * len(x) // 100) - 1]) for k, q in (("p25", 25), ("p50", 50), ("p75", 75), ("p90", 90), ("p99", 99))} for c, x in plain.items()}
+    assert {c["name"]: c["quantiles"] for c in profile(df)} == want
+    monkeypatch.setattr(profiles, "MARGIN", 0.0)  # brackets that miss are widened
+    assert {c["name"]: c["quantiles"] for c in profile(df)} == want
+
+
+def test_flat_profile_rounds_as_sql(spark):
+    from lodestone.product_queries import _flat_profile
+
+    df = spark.createDataFrame([(1 if i == 0 else 0, "x" if i < 31 else None) for i in range(32)], "n int, s string")
+    got = {r.name: r for r in _flat_profile(spark, profile(df), True).collect()}
+    assert got["n"]["mean"] == 0.0313  # 1 / 32
+    three = spark.createDataFrame([(None,), (1,), (2,)], "n int")
+    assert _flat_profile(spark, profile(three), True).first().null_percentage == 1 * 100.0 / 3
+
+
 # --- queries over files
 
 
