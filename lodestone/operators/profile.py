@@ -69,9 +69,10 @@ def ranked(df: DataFrame, name: str, ranks: list[int], around: list[float]) -> d
     Values in a bracket count one by one, those between two brackets together, so one task sorts 3 of 1,000 rows at most.
     """
     ends: list[list[float]] = []
-    for lo, hi in sorted(zip(around[::2], around[1::2], strict=True)):
-        if ends and not lo > ends[-1][1]:
-            ends[-1][1] = max(ends[-1][1], hi)
+    size = lambda v: (math.isnan(v), v)  # noqa: E731  # no number is the largest value
+    for lo, hi in zip(around[::2], around[1::2], strict=True):
+        if ends and size(lo) <= size(ends[-1][1]):
+            ends[-1][1] = max(ends[-1][1], hi, key=size)
         else:
             ends.append([lo, hi])
     x = F.col("x")

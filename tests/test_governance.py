@@ -153,6 +153,14 @@ def test_profile_quantiles_are_exact(spark, monkeypatch):
     assert {c["name"]: c["quantiles"] for c in profile(df)} == want
 
 
+def test_profile_quantiles_of_no_numbers(spark):
+    odd = [math.nan] * 4_000 + [math.inf, -math.inf, -0.0, 0.0] + [i / 4 for i in range(8_000)]
+    for values, want in ((odd, [749.25, 1499.5, math.nan, math.nan, math.nan]), ([math.nan] * 3, [math.nan] * 5), ([None, 7.0], [7.0] * 5)):
+        got = profile(spark.createDataFrame([(v,) for v in values], "x double"))[0]["quantiles"].values()
+        assert [str(v) for v in got] == [str(v) for v in want], values[0]
+    assert "quantiles" not in profile(spark.createDataFrame([(None,)], "x double"))[0]
+
+
 def test_flat_profile_rounds_as_sql(spark):
     from lodestone.product_queries import _flat_profile
 
