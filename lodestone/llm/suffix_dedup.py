@@ -3,7 +3,9 @@
 Every byte that a `length`-byte string covers which also starts earlier in the corpus goes. The work is dealt out so
 that equal strings always meet: each window of `length` bytes belongs to the `gram`-byte string of least hash
 within it, its anchor. Consecutive windows with the same anchor in the same place are a run, about one for 43 bytes of text. Equal runs with
-one anchor need no more than their order: all but the first are repeats. Where runs with one anchor differ, the
+one anchor need no more than their order: all but the first are repeats. Where runs with one anchor differ, a window
+that is in two of them reaches half of what a window has beside its anchor to the left of it or to the right, and so
+these bytes are the same in both. Runs without such a side in common have no window in common. Of the others, the
 bytes of the first of each kind are gathered by anchor, and a suffix array of these decides window by window:
 
   the difference-cover algorithm (Karkkainen and Sanders) sorts the triples at positions 1 and 2 modulo 3, names
@@ -12,7 +14,7 @@ bytes of the first of each kind are gathered by anchor, and a suffix array of th
 
 Because windows with different anchors cannot be equal, no suffix array spans tasks, and only runs that may repeat
 in part are sorted. A task first drops the repeats within its own batch, so a passage in a third of all documents
-reaches the shuffle once for each batch. An anchor with more than `hot` differing runs is not gathered: its single
+reaches the shuffle once for each batch. An anchor with more than `hot` such runs is not gathered: its single
 windows meet by 128-bit digests, and an aggregation with partial sums finds the first of each.
 """
 
@@ -125,11 +127,23 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
+def _beside(hashes: np.ndarray, gram: int, starts: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
+    """32 bits of hash, never 0, of the `size` bytes from each start on, out of those of its grams; 0 where none are there.
+
+    Equal bytes give equal hashes; fewer bytes than a gram are not told apart."""
+    out = np.full(len(starts), U(size))
+    for k in sorted({*range(0, size - gram + 1, gram), size - gram}) if size >= gram else []:
+        out = mix(out ^ hashes[np.where(there, starts + k, 0)])
+    return np.where(there, (out >> U(32)) | U(1), U(0))
+
+
 def runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, content, text, start, windows) of each run; text is the index of its text, start is within it."""
+    """(anchor, content, text, start, windows, sides) of each run; text is the index of its text, start is within it.
+
+    sides holds the hashes of the bytes on the left and on the right of the anchor, 0 where no window of the run reaches as far."""
     n = len(raw)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     hashes = _gram_hashes(raw, gram)
     # The least by 32 bits of hash, then the leftmost: what is chosen depends on the window's bytes alone. Equal windows
     # have it at the same distance, so two in one text never share its position, and no run repeats within itself.
@@ -151,12 +165,15 @@ def runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[
     a, b = np.flatnonzero(begins), np.flatnonzero(ends)
     text = np.searchsorted(offsets, a, side="right") - 1
     # Empty texts share an offset with the text after them; side="right" finds the last of these, which holds the bytes.
-    anchor = hashes[(least[a] & U(0xFFFFFFFF)).astype(np.int64)]
-    return anchor.view(np.int64), digests(raw, a, b + length)[:, 0], text, a - offsets[text], b - a + 1
+    at = (least[a] & U(0xFFFFFFFF)).astype(np.int64)
+    half = (length - gram) // 2  # a window with fewer bytes on the left of its anchor has the rest of length - gram + 1 on the right
+    left = _beside(hashes, gram, at - half, half, at - a >= half)
+    right = _beside(hashes, gram, at + gram, length - gram - half + 1, at - b < half)
+    return hashes[at].view(np.int64), digests(raw, a, b + length)[:, 0], text, a - offsets[text], b - a + 1, (left << U(32) | right).view(np.int64)
 
 
 FIELDS = [("ord", pa.int64()), ("dup", pa.int32()), ("start", pa.int64()), ("windows", pa.int64())]
-RUN = "anchor long, content long, repeat boolean, ord long, dup int, start long, windows long"
+RUN = "anchor long, content long, repeat boolean, ord long, dup int, start long, windows long, sides long"
 FOUND = "anchor long, ord long, dup int, start long, windows long"
 
 
@@ -179,62 +196,102 @@ def _run_batches(length: int, gram: int):
             ids, dups, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             parts = []
             for i, j in string_slices(text):
-                anchor, content, at, start, windows = runs(*utf8_parts(text.slice(i, j - i)), length, gram)
-                parts.append((anchor, content, ids[i + at], dups[i + at], start, windows))
+                anchor, content, at, start, windows, sides = runs(*utf8_parts(text.slice(i, j - i)), length, gram)
+                parts.append((anchor, content, ids[i + at], dups[i + at], start, windows, sides))
             if not parts:
                 continue
-            anchor, content, ord_, dup, start, windows = (np.concatenate(x) for x in zip(*parts, strict=True))
+            anchor, content, ord_, dup, start, windows, sides = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((start, dup, ord_, content, anchor))
             again = np.zeros(len(order), bool)
             again[order[1:]] = (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
             rest = ~again
             o, d, s, w = _merged(ord_[again], dup[again], start[again], windows[again])
             spread = mix(o.astype(np.uint64) ^ s.astype(np.uint64)).view(np.int64)
-            cols = [np.concatenate(x) for x in ((anchor[rest], spread), (content[rest], np.zeros_like(o)), (np.zeros(rest.sum(), bool), np.ones(len(o), bool)), (ord_[rest], o), (dup[rest], d), (start[rest], s), (windows[rest], w))]
+            cols = [np.concatenate(x) for x in ((anchor[rest], spread), (content[rest], np.zeros_like(o)), (np.zeros(rest.sum(), bool), np.ones(len(o), bool)), (ord_[rest], o), (dup[rest], d), (start[rest], s), (windows[rest], w), (sides[rest], np.zeros_like(o)))]
             table = pa.table(dict(zip((c.split()[0] for c in RUN.split(", ")), cols, strict=True)))
-            yield from table.cast(pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("repeat", pa.bool_()), *FIELDS])).to_batches(max_chunksize=200_000)
+            yield from table.cast(pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("repeat", pa.bool_()), *FIELDS, ("sides", pa.int64())])).to_batches(max_chunksize=200_000)
 
     return run
 
 
-def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over runs sorted by anchor, content and place: repeats with a null anchor; firsts of anchors whose runs differ.
+def _may_share(anchor: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Mask of the runs, ordered by anchor, whose bytes on one side of it another run with their anchor has as well."""
+    group = np.cumsum(np.concatenate(([False], anchor[1:] != anchor[:-1]))).astype(U) << U(32)
+    out = np.zeros(len(anchor), bool)
+    for side in (sides.view(U) >> U(32), sides.view(U) & U(0xFFFFFFFF)):
+        own = np.flatnonzero(side)
+        key = group[own] | side[own]
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        out[own[order[1:][same]]] = True
+        out[own[order[:-1][same]]] = True
+    return out
+
+
+def _sift(most: int = 200_000):
+    """Over runs sorted by anchor, content and place: repeats with a null anchor; firsts of each content that may share a window.
 
-    One row is held back from batch to batch, so the number of runs with one anchor does not matter.
+    The firsts of one anchor are held together until it ends. From `most` on all of them are passed instead of compared, so
+    what is held has a bound.
     """
-    names = ["anchor", "content", "ord", "dup", "start", "windows"]
-    held: tuple | None = None  # the first run of the content that came last
-    shown = False  # whether it has been emitted
-    for batch in batches:
-        known = batch.column("repeat").to_numpy(zero_copy_only=False)
-        passed = batch.filter(pa.array(known))
-        if len(passed):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(passed), pa.int64()), *(passed.column(c) for c, _ in FIELDS)], names=["anchor", *(c for c, _ in FIELDS)])
-        cols = [batch.column(c).to_numpy()[~known] for c in names]
-        if not len(cols[0]):
-            continue
-        if held is not None:
-            cols = [np.concatenate((np.array([h], c.dtype), c)) for h, c in zip(held, cols, strict=True)]
-        anchor, content = cols[0], cols[1]
-        n = len(anchor)
-        same_anchor = np.zeros(n, bool)
-        same_anchor[1:] = anchor[1:] == anchor[:-1]
-        again = np.zeros(n, bool)
-        again[1:] = same_anchor[1:] & (content[1:] == content[:-1])
-        first = np.flatnonzero(~again)
-        joined = same_anchor[first]
-        differs = joined.copy()
-        differs[:-1] |= joined[1:]
-        shows = first[differs]
-        if held is not None and shown:
-            shows = shows[shows > 0]
-        last_shown = bool(differs[-1]) or (held is not None and shown and len(first) == 1)
-        out_a = np.concatenate((anchor[shows], np.zeros(int(again.sum()), np.int64)))
-        mask = np.concatenate((np.zeros(len(shows), bool), np.ones(int(again.sum()), bool)))
-        take = np.concatenate((shows, np.flatnonzero(again)))
-        if len(take):
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, mask=mask), *(pa.array(c[take], t) for c, (_, t) in zip(cols[2:], FIELDS, strict=True))], names=["anchor", *(c for c, _ in FIELDS)])
-        held, shown = tuple(c[first[-1]] for c in cols), last_shown
+
+    def rows(cols: list[np.ndarray], anchors: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([anchors, *(pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True))], names=["anchor", *(c for c, _ in FIELDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", *(c for c, _ in FIELDS), "sides"]
+        held: list[list[np.ndarray]] = []  # firsts of the anchor that came last
+        holding, size, passing = None, 0, False  # that anchor, the number held, whether there were too many
+        last: tuple[int, int] | None = None  # anchor and content of the run before
+
+        def settled(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            if parts:
+                cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                take = np.flatnonzero(_may_share(cols[0], cols[-1]))
+                if len(take):
+                    yield rows([c[take] for c in cols[1:-1]], pa.array(cols[0][take]))
+
+        for batch in batches:
+            known = batch.column("repeat").to_numpy(zero_copy_only=False)
+            cols = [batch.column(c).to_numpy() for c in names]
+            again = known.copy()
+            fresh = np.flatnonzero(~known)
+            anchor, content = cols[0][fresh], batch.column("content").to_numpy()[fresh]
+            if len(fresh):
+                again[fresh[1:]] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+                again[fresh[0]] = last == (anchor[0], content[0])
+            if again.any():
+                yield rows([c[again] for c in cols[1:-1]], pa.nulls(int(again.sum()), pa.int64()))
+            if not len(fresh):
+                continue
+            cols = [c[~again] for c in cols]
+            last = (anchor[-1], content[-1])
+            if not len(cols[0]):
+                continue
+            breaks = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+            tail = int(breaks[-1]) if len(breaks) else 0  # where the firsts of the last anchor begin
+            if holding != cols[0][0]:
+                yield from settled(held)
+                held, size, passing = [], 0, False
+            holding = cols[0][-1]
+            if passing:
+                end = int(breaks[0]) if len(breaks) else len(cols[0])
+                yield rows([c[:end] for c in cols[1:-1]], pa.array(cols[0][:end]))
+                if not len(breaks):
+                    continue
+                cols, tail, passing = [c[end:] for c in cols], tail - end, False
+            if tail:
+                yield from settled([*held, [c[:tail] for c in cols]])
+                held, size = [], 0
+            held.append([c[tail:] for c in cols])
+            size += len(cols[0]) - tail
+            if size >= most:
+                for part in held:
+                    yield rows(part[1:-1], pa.array(part[0]))
+                held, size, passing = [], 0, True
+        yield from settled(held)
+
+    return run
 
 
 def _cut_batches(length: int):
@@ -264,17 +321,22 @@ WINDOW = "w1 long, w2 long, ord long, dup int, start long"
 
 
 def _window_batches(length: int):
-    """The 128-bit digest of every single window of the runs listed for each text."""
+    """The 128-bit digest of every single window of runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ord_, dup, text, starts, windows in zip(*(batch.column(c).to_pylist() for c in ("ord", "dup", "text", "starts", "windows")), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, windows, strict=True)])
-                for lo in range(0, len(at), 50_000):
-                    part = at[lo : lo + 50_000]
-                    d = digests(raw, part, part + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(np.full(len(part), ord_)), pa.array(np.full(len(part), dup), pa.int32()), pa.array(part)], names=[c.split()[0] for c in WINDOW.split(", ")])
+            ids, dups, starts = (batch.column(c).to_numpy() for c in ("ord", "dup", "start"))
+            data = batch.column("bytes")
+            sizes = np.array([len(x) for x in data.to_pylist()], np.int64)
+            raw = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
+            counts = sizes - length + 1
+            owner = np.repeat(np.arange(len(counts)), counts)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = inner + np.repeat(np.cumsum(sizes) - sizes, counts)
+            for lo in range(0, len(at), 50_000):
+                part, own = at[lo : lo + 50_000], owner[lo : lo + 50_000]
+                d = digests(raw, part, part + length)
+                yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(ids[own]), pa.array(dups[own], pa.int32()), pa.array(starts[own] + inner[lo : lo + 50_000])], names=[c.split()[0] for c in WINDOW.split(", ")])
 
     return run
 
@@ -368,9 +430,9 @@ def _lists(open_: DataFrame) -> DataFrame:
     return open_.groupBy(*KEY).agg(*(F.collect_list(c).alias(d) for c, d in (("anchor", "anchors"), ("start", "starts"), ("windows", "windows"))))
 
 
-def _hot_repeats(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """Repeats among the single windows of runs whose anchors have too many to gather."""
-    windows = stash(docs.select(*KEY, "text").join(_lists(open_), KEY).mapInArrow(_window_batches(length), WINDOW))
+def _hot_repeats(pieces: DataFrame, length: int) -> DataFrame:
+    """Repeats among the single windows of runs whose anchors have too many to sort together."""
+    windows = stash(pieces.mapInArrow(_window_batches(length), WINDOW))
     place = F.struct(*KEY, "start")
     firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(firsts, ["w1", "w2"]).where(place > F.col("first"))
@@ -390,13 +452,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 16, hot: int
     docs = _numbered(docs)
     mapped = docs.select(*KEY, "text").mapInArrow(_run_batches(length, gram), RUN)
     sorted_runs = mapped.repartition(F.col("anchor")).sortWithinPartitions("anchor", "content", *KEY, "start")
-    found = stash(sorted_runs.mapInArrow(_sift, FOUND))
+    found = stash(sorted_runs.mapInArrow(_sift(), FOUND))
     repeats, open_ = found.where("anchor is null"), found.where("anchor is not null")
     hot_anchors = stash(open_.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"))
-    if not hot_anchors.isEmpty():
-        repeats = repeats.union(_hot_repeats(docs, open_.join(hot_anchors, "anchor", "left_semi"), length))
-        open_ = open_.join(hot_anchors, "anchor", "left_anti")
     pieces = docs.select(*KEY, "text").join(_lists(open_), KEY).mapInArrow(_cut_batches(length), "anchor long, ord long, dup int, start long, bytes binary")
+    if not hot_anchors.isEmpty():
+        pieces = stash(pieces)  # the texts move once for both ways
+        repeats = repeats.union(_hot_repeats(pieces.join(hot_anchors, "anchor", "left_semi"), length))
+        pieces = pieces.join(hot_anchors, "anchor", "left_anti")
     decided = pieces.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(_decide(length), FOUND)
     ranges = repeats.union(decided).groupBy(*KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("windows"))
     final = docs.join(ranges, KEY, "left").select("doc_id", "text", "starts", "windows")

@@ -10,6 +10,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import decontaminate, fingerprints, html_text, near_dedup, packing, quality, secrets, suffix_dedup, url_filter, warc
@@ -272,6 +273,29 @@ def test_repeats_of_many_rows_without_id(spark):
     assert repeats(make(spark, rows)) == {i: sorted(x) for i, x in plain_repeats(order).items()}
 
 
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_only_runs_that_may_share_a_window_are_gathered(most):
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    line, passage = noise(40), noise(130)
+
+    def sifted(texts_, most):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts_)), pa.int64()), pa.array([0] * len(texts_), pa.int32()), pa.array(texts_)], names=["ord", "dup", "text"])
+        rows = pa.Table.from_batches(suffix_dedup._run_batches(100, 16)([batch])).sort_by([(c, "ascending") for c in ("anchor", "content", "ord", "dup", "start")])
+        return [r for b in suffix_dedup._sift(most)(iter(rows.to_batches(max_chunksize=2))) for r in b.to_pylist()]
+
+    if most > 30:
+        assert sifted([noise(150) + line + noise(150) for _ in range(30)], most) == []
+    texts_ = [noise(150) + passage[k:] + noise(150) for k in range(20)]
+    seen, later = set(), set()
+    for i, t in enumerate(texts_):
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                later.add((i, k))
+            seen.add(t[k : k + 100])
+    assert later and later <= {(r["ord"], r["start"] + k) for r in sifted(texts_, most) for k in range(r["windows"])}
+
+
 # --- 4
 
 
